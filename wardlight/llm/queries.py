@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wardlight.llm.fingerprints import fingerprints
 from wardlight.llm.license_scan import license_columns
 from wardlight.llm.mixing import mix
+from wardlight.llm.ngram_join import near_duplicates
 from wardlight.llm.packing import packed_documents
 from wardlight.llm.quality_rules import quality_columns
 from wardlight.llm.shared import documents
+from wardlight.llm.substring_dedup import removal_digests
 
 
 def tokenizer_path() -> str:
@@ -18,6 +21,14 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir))
+
+
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(documents(spark, sf_dir))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mix(documents(spark, sf_dir))
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"), "source", "times")
@@ -37,5 +48,9 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_failed_lines", "lost_share")
 
 
-QUERIES = {f.__name__: f for f in (op5_mixing, op6_license_scan, op8_packing, op9_quality_rules)}
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return removal_digests(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_fingerprints, op5_mixing, op6_license_scan, op8_packing, op9_quality_rules, op10_substring_dedup)}
 ORACLE: dict[str, str] = {}
