@@ -47,11 +47,11 @@ def unsqueeze(blob: bytes) -> np.ndarray:
 
 
 class Prefix:
-    """Keys of 56 bits below the bucket's own bits, or all 64 if that is fewer."""
+    """Keys of 56 bits below the bucket's own bits, or what `total` leading bits of a hash leave if that is fewer."""
 
-    def __init__(self, bits: int):
+    def __init__(self, bits: int, total: int = 64):
         self.bits = bits
-        self.low = min(56, 64 - bits)
+        self.low = min(56, total - bits)
         self.bytes = (self.low + 7) // 8
 
     def key(self, hashes: np.ndarray) -> np.ndarray:
