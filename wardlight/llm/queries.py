@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wardlight.llm import substring_dedup, suffix_dedup
 from wardlight.llm.fingerprints import fingerprints
 from wardlight.llm.license_scan import license_columns
 from wardlight.llm.lm_scoring import train_and_score
@@ -13,7 +14,6 @@ from wardlight.llm.ngram_join import near_duplicates
 from wardlight.llm.packing import packed_documents
 from wardlight.llm.quality_rules import quality_columns
 from wardlight.llm.shared import documents
-from wardlight.llm.substring_dedup import removal_digests
 
 
 def tokenizer_path() -> str:
@@ -44,6 +44,10 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "license", "license_kind", F.array_join("licenses", ",").alias("licenses"), F.array_join("license_sentences", ",").alias("sentence_ids"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.removal_digests(documents(spark, sf_dir))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_documents(documents(spark, sf_dir), tokenizer_path())
 
@@ -54,8 +58,8 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return removal_digests(documents(spark, sf_dir))
+    return substring_dedup.removal_digests(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_fingerprints, op3_lm_scoring, op5_mixing, op6_license_scan, op8_packing, op9_quality_rules, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_fingerprints, op3_lm_scoring, op5_mixing, op6_license_scan, op7_suffix_dedup, op8_packing, op9_quality_rules, op10_substring_dedup)}
 ORACLE: dict[str, str] = {}
