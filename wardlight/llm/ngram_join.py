@@ -19,6 +19,7 @@ result.
 from __future__ import annotations
 
 import hashlib
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -75,8 +76,9 @@ def _describe(labels, permutations: int, shingle: int):
                     pa.array([r[1] for r in rows], pa.int64()),
                     pa.array([_text_key(words, d) if words.counts[d] else None for d in range(len(rows))], pa.binary()),
                     pa.array(list(trees), pa.list_(pa.int64())),
+                    pa.array([m.tobytes() for m in marks.astype(np.uint8)], pa.binary()),
                 ],
-                ["doc_id", "th", "text_key", "trees"],
+                ["doc_id", "th", "text_key", "trees", "marks"],
             )
 
     return run
@@ -142,6 +144,31 @@ def _common(shingles: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndar
     return out
 
 
+def least_agreement(threshold: float, permutations: int, miss: float = 1e-6) -> int:
+    """The most equal minima that a pair at the threshold falls short of with probability `miss` at most."""
+    below, k = 0.0, 0
+    while (below := below + comb(permutations, k) * threshold**k * (1 - threshold) ** (permutations - k)) <= miss:
+        k += 1
+    return k
+
+
+def _screen(agreement: int):
+    """Texts of a block pair that agree with a candidate in enough minima to be compared."""
+
+    def run(table: pa.Table) -> pa.Table:
+        reps, block = table["rep"].to_numpy(), table["block"].to_numpy()
+        pairs = _candidates(np.asarray(table["trees"].to_pylist(), np.int64), block)
+        marks = np.frombuffer(b"".join(table["marks"].to_pylist()), np.uint8).reshape(len(reps), -1)
+        stays = np.zeros(len(reps), bool)
+        for k in range(0, len(pairs), 1 << 16):
+            i, j = pairs[k : k + (1 << 16)] // len(reps), pairs[k : k + (1 << 16)] % len(reps)
+            near = np.count_nonzero(marks[i] == marks[j], axis=1) >= agreement
+            stays[i[near]] = stays[j[near]] = True
+        return pa.table({"rep": reps[stays], "pair": table["pair"].to_numpy()[stays]})
+
+    return run
+
+
 def _verify(threshold: float):
     def run(table: pa.Table) -> pa.Table:
         reps, copies, block = (table[c].to_numpy() for c in ("rep", "copies", "block"))
@@ -187,8 +214,8 @@ def connected(edges: DataFrame) -> DataFrame:
 def linked_documents(docs: DataFrame, threshold: float, labels, permutations: int, trees: int, shingle: int = SHINGLE) -> DataFrame:
     spark = docs.sparkSession
     rows = keyed(docs)
-    described = materialize(rows.mapInArrow(_describe(labels, permutations, shingle), "doc_id long, th long, text_key binary, trees array<long>"))
-    texts = described.filter("text_key is not null").groupBy("text_key").agg(F.min(F.struct("doc_id", "th")).alias("first"), F.count("*").alias("copies"), F.first("trees").alias("trees"))
+    described = materialize(rows.mapInArrow(_describe(labels, permutations, shingle), "doc_id long, th long, text_key binary, trees array<long>, marks binary"))
+    texts = described.filter("text_key is not null").groupBy("text_key").agg(F.min(F.struct("doc_id", "th")).alias("first"), F.count("*").alias("copies"), F.first("trees").alias("trees"), F.first("marks").alias("marks"))
     texts = materialize(texts.withColumn("rep", F.xxhash64("text_key")))
     member = texts.select("rep", F.posexplode("trees").alias("tree", "prefix"))
     shared = member.groupBy("tree", "prefix").agg(F.min("rep").alias("least"), F.count("*").alias("size")).filter("size > 1")
@@ -209,7 +236,11 @@ def linked_documents(docs: DataFrame, threshold: float, labels, permutations: in
     code = (F.col("block").cast("long") * (1 << 31) + F.col("other")).alias("pair")
     listed = cross.unionByName(near.select("block", F.col("block").alias("other")).distinct()).select("block", "other", code)
     listed = listed.select("block", "pair").unionByName(listed.filter("block <> other").select(F.col("other").alias("block"), "pair")).groupBy("block").agg(F.collect_list("pair").alias("pairs"))
-    chosen = texts.join(near, "rep").join(listed, "block").select("rep", "first", "copies", "block", "trees", "pairs")
+    placed = texts.join(near, "rep").join(listed, "block")
+    screened = placed.select("rep", "block", "trees", "marks", F.explode("pairs").alias("pair")).groupBy("pair").applyInArrow(_screen(least_agreement(threshold, permutations)), "rep long, pair long")
+    screened = materialize(screened).groupBy("rep").agg(F.collect_list("pair").alias("pairs"))
+    release_shuffles(spark)
+    chosen = materialize(texts.join(near, "rep").join(screened, "rep").select("rep", "first", "copies", "block", "trees", "pairs"))
     release_shuffles(spark)
     source = chosen.join(rows.select(F.struct("doc_id", "th").alias("first"), "text"), "first").select("rep", "copies", "block", "text", "trees", "pairs")
     if _repeats(described):

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from wardlight.llm import substring_dedup, suffix_dedup
 from wardlight.llm.fingerprints import fingerprints
 from wardlight.llm.license_scan import license_columns
+from wardlight.llm.line_dedup import dedup_digests
 from wardlight.llm.lm_scoring import train_and_score
 from wardlight.llm.mixing import mix
 from wardlight.llm.ngram_join import near_duplicates
@@ -34,6 +35,10 @@ def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return train_and_score(documents(spark, sf_dir))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_digests(documents(spark, sf_dir))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mix(documents(spark, sf_dir))
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"), "source", "times")
@@ -61,5 +66,5 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.removal_digests(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_fingerprints, op3_lm_scoring, op5_mixing, op6_license_scan, op7_suffix_dedup, op8_packing, op9_quality_rules, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_fingerprints, op3_lm_scoring, op4_line_dedup, op5_mixing, op6_license_scan, op7_suffix_dedup, op8_packing, op9_quality_rules, op10_substring_dedup)}
 ORACLE: dict[str, str] = {}
