@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from wardlight.llm.line_dedup import dedup_lines
 from wardlight.llm.mixing import mixed_documents
+from wardlight.llm.ngram_join import one_of_each
 from wardlight.llm.packing import packed_documents
 from wardlight.llm.quality_rules import quality_filter
 from wardlight.llm.queries import tokenizer_path
@@ -16,6 +18,16 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality_filter(docs)
 
 
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines like an earlier one go, and documents that lose all their words."""
+    return dedup_lines(docs)
+
+
+def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays, the one with the least doc_id."""
+    return one_of_each(docs)
+
+
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeat or go as the mix takes them."""
     return mixed_documents(docs)
@@ -25,7 +37,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packed_documents(docs, tokenizer_path())
 
 
-STAGES = [("quality rules", quality_rules), ("mixing", mixing), ("packing", packing)]
+STAGES = [("quality rules", quality_rules), ("line dedup", line_dedup), ("n-gram join", ngram_join), ("mixing", mixing), ("packing", packing)]
 
 #: Packing and the similarity stages can't be said in SQL; tests compare them with brute force.
 ORACLE_SQL = None
