@@ -148,4 +148,6 @@ def quality_columns(docs: DataFrame, min_words: int = MIN_WORDS, max_repeat_perc
 def quality_filter(docs: DataFrame) -> DataFrame:
     """The documents that pass, with the columns and the whole texts they came with."""
     marked = quality_columns(docs.select(F.struct("*").alias("__row"), text_or_empty().alias("text")))
-    return marked.filter("kept").select("__row.*")
+    # A filter would be pushed below the columns it reads and evaluate them again for each word; it can't pass a generator.
+    passed = marked.select(F.explode_outer(F.when(F.col("kept"), F.array("__row"))).alias("__row"))
+    return passed.filter(F.col("__row").isNotNull()).select("__row.*")
