@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from wardlight.plans import delegated_sql, operator_queries, template_queries  # noqa: F401
+from wardlight.plans.registry import ORACLE, QUERIES
+
+__all__ = ["ORACLE", "QUERIES"]
