@@ -30,7 +30,7 @@ ABBREVIATIONS = {
 
 
 def _codes(text: Column) -> Column:
-    return F.transform(F.split(text, ""), lambda c: F.ascii(c).cast("long"))
+    return F.when(text == "", F.array().cast("array<bigint>")).otherwise(F.transform(F.split(text, ""), lambda c: F.ascii(c).cast("long")))
 
 
 def _signed(x: Column) -> Column:

@@ -183,7 +183,7 @@ _RULES = [("busy", "events", ">", 335.0, "Active"), ("quiet", "events", "<=", 32
 _RULES_SQL = " UNION ALL ".join(f"SELECT '{a}' AS name, '{b}' AS metric, '{o}' AS op, CAST({v} AS DOUBLE) AS value, '{x}' AS status" for a, b, o, v, x in _RULES)
 
 
-@query("F5", _METRICS_SQL + f" SELECT name, at, reading FROM daily JOIN ({_RULES_SQL}) AS rules ON rules.metric = daily.metric" + """ WHERE status = 'Active' AND
+@query("F5", _METRICS_SQL + f' SELECT name, daily."at" AS "at", reading FROM daily JOIN ({_RULES_SQL}) AS rules ON rules.metric = daily.metric' + """ WHERE status = 'Active' AND
     CASE op WHEN '>' THEN reading > value WHEN '<' THEN reading < value WHEN '>=' THEN reading >= value WHEN '<=' THEN reading <= value ELSE reading = value END""")
 def alerts(spark, d):
     rules = spark.createDataFrame(_RULES, "name string, metric string, op string, value double, status string")
