@@ -107,7 +107,8 @@ def _entries(length: int, bits: int):
             key = prefix.key(anchor)
             order = np.lexsort((start, content, key))
             same = np.concatenate(([False], (key[order][1:] == key[order][:-1]) & (content[order][1:] == content[order][:-1])))
-            repeated = order[same | np.append(same[1:], False)]
+            same = same[: len(order)]
+            repeated = order[same | np.append(same[1:], False)[: len(order)]]
             chunk = chunk_number(k)
             inside = np.searchsorted(base, start[repeated], "right") - 1
             a, z = merge_intervals(start[repeated] + inside, end[repeated] + length - 1 + inside)  # a gap keeps neighbouring documents apart
@@ -223,20 +224,23 @@ def _send_texts(length: int, bits: int):
     return run
 
 
-def sort_suffixes(text: np.ndarray, depth: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(suffix array, its inverse, ranks at depth `seed`) of suffixes ordered by their first `depth` bytes or more (doubling from 8)."""
+def sort_suffixes(text: np.ndarray, depth: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(suffix array, its inverse, ranks by prefixes of some length from `seed` on, that length).
+
+    Suffixes are ordered by their first `depth` symbols or more, doubling from 7; symbols are below 512.
+    """
     n = len(text)
-    padded = np.concatenate((text, np.zeros(8, np.uint8))).astype(U64)
+    padded = np.concatenate((text, np.zeros(7, text.dtype))).astype(U64)
     key = np.zeros(n, U64)
-    for k in range(8):
-        key = (key << U64(8)) | padded[k : k + n]
-    reach, seeded = 8, None
+    for k in range(7):
+        key = (key << U64(9)) | padded[k : k + n]
+    reach, seeded, level = 7, None, 0
     while True:
         order = np.argsort(key, kind="stable")
         rank = np.empty(n, np.int64)
         rank[order] = np.cumsum(np.concatenate(([0], key[order][1:] != key[order][:-1])))
-        if seeded is None and (reach >= seed):
-            seeded = rank
+        if seeded is None and reach >= seed:
+            seeded, level = rank, reach
         if reach >= depth:
             break
         ahead = np.zeros(n, np.int64)
@@ -245,27 +249,25 @@ def sort_suffixes(text: np.ndarray, depth: int, seed: int) -> tuple[np.ndarray,
         reach *= 2
     inverse = np.empty(n, np.int64)
     inverse[order] = np.arange(n)
-    return order, inverse, seeded
+    return order, inverse, seeded, level
 
 
 def open_prefixes(text: np.ndarray, length: int, seed: int = 64) -> tuple[np.ndarray, np.ndarray]:
-    """(suffix array, open): open[i] if suffixes i-1 and i in order share `length` bytes or more.
+    """(suffix array, open): open[i] if suffixes i-1 and i in order share `length` symbols or more.
 
-    Intervals of equal `seed`-byte prefixes are extended to the left, character by character of the
-    Burrows-Wheeler transform; an interval whose right end still has no value gets the present one
-    and is extended in the next round. Rounds stop below `length`.
+    Symbol 0 ends a content; what is said of suffixes that reach one within `length` symbols means
+    nothing. Intervals of equal prefixes (of `seed` symbols or somewhat more) are extended to the
+    left, character by character of the Burrows-Wheeler transform; an interval whose right end still
+    has no value gets the present one and is extended in the next round. Rounds stop below `length`.
     """
-    seed = min(seed, length)
-    order, inverse, ranks = sort_suffixes(text, length, seed)
-    # Intervals must all have the same depth: doubling may have passed the wanted seed.
-    level = 8
-    while level < seed:
-        level *= 2
-    if level > length:
-        level, ranks = 0, np.zeros(len(text), np.int64)
+    order, inverse, ranks, level = sort_suffixes(text, length, min(seed, length))
     n = len(text)
     closed = np.ones(n + 1, bool)
-    closed[1:n] = ranks[order][1:] != ranks[order][:-1]
+    if level > length:
+        level = 0
+        closed[1:n] = False
+    else:
+        closed[1:n] = ranks[order][1:] != ranks[order][:-1]
     left = np.flatnonzero(closed[:n])
     right = np.append(left[1:], n) - 1
     before = order - 1
@@ -275,12 +277,14 @@ def open_prefixes(text: np.ndarray, length: int, seed: int = 64) -> tuple[np.nda
         inside = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + left[owner]
         previous = before[inside]
         owner, previous = owner[previous >= 0], previous[previous >= 0]
+        if not len(previous):
+            break
         to = inverse[previous]
-        tag = owner * 256 + text[previous]
+        tag = owner * 512 + text[previous]
         by = np.argsort(to, kind="stable")
         to, tag = to[by], tag[by]
-        first = np.flatnonzero(np.concatenate(([True], (tag[1:] != tag[:-1]) | (to[1:] != to[:-1] + 1)))) if len(to) else np.zeros(0, np.int64)
-        left, right = to[first], to[np.append(first[1:], len(to)) - 1] if len(to) else to
+        first = np.flatnonzero(np.concatenate(([True], (tag[1:] != tag[:-1]) | (to[1:] != to[:-1] + 1))))
+        left, right = to[first], to[np.append(first[1:], len(to)) - 1]
         fresh = ~closed[right + 1]
         left, right = left[fresh], right[fresh]
         closed[right + 1] = True
@@ -299,10 +303,10 @@ def _expand(length: int, bits: int):
             texts = np.frombuffer(b"".join(r["b"] for r in rows), np.uint8)
             sizes = count + length - 1
             begin = np.cumsum(sizes) - sizes
-            # A zero byte after each content.
+            # Bytes count from 1; a zero follows each content.
             spot = np.arange(len(texts)) + np.repeat(np.arange(len(sizes)), sizes)
-            joined = np.zeros(len(texts) + len(sizes), np.uint8)
-            joined[spot] = texts
+            joined = np.zeros(len(texts) + len(sizes), np.uint16)
+            joined[spot] = texts.astype(np.uint16) + 1
             begin = begin + np.arange(len(sizes))
             owner = np.full(len(joined), -1, np.int64)
             at = np.concatenate([np.arange(b, b + c) for b, c in zip(begin, count)])
@@ -343,7 +347,7 @@ def repeated_intervals(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     first = materialize(compared.groupBy("chunk").applyInArrow(_to_documents(length), _ASKED))
     release_shuffles(spark)
     asked = first.filter("asks is not null").select("doc_id", "th", "asks")
-    texts = docs.join(asked, ["doc_id", "th"]).select("doc_id", "th", "text", "asks")
+    texts = docs.join(asked.hint("merge"), ["doc_id", "th"]).select("doc_id", "th", "text", "asks")
     second = materialize(texts.mapInArrow(_send_texts(length, bits), WIRE).groupBy("bucket").applyInArrow(_expand(length, bits), INTERVALS))
     release_shuffles(spark)
     return first.drop("asks").unionByName(second)
