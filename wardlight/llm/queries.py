@@ -13,7 +13,7 @@ from wardlight.llm.lm_scoring import train_and_score
 from wardlight.llm.mixing import mix
 from wardlight.llm.ngram_join import near_duplicates
 from wardlight.llm.packing import packed_documents
-from wardlight.llm.quality_rules import quality_columns
+from wardlight.llm.quality_rules import BOILERPLATE, MAX_LOST, MAX_REPEAT_PERCENT, MIN_WORDS, SHORT_LINE, SYMBOLS, quality_columns
 from wardlight.llm.shared import documents
 
 
@@ -68,3 +68,35 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_fingerprints, op3_lm_scoring, op4_line_dedup, op5_mixing, op6_license_scan, op7_suffix_dedup, op8_packing, op9_quality_rules, op10_substring_dedup)}
 ORACLE: dict[str, str] = {}
+
+_WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+
+ORACLE["op10_substring_dedup"] = rf"""WITH d AS (SELECT doc_id, {_WORDS} AS words FROM documents),
+win AS (SELECT doc_id, i, array_to_string(words[i:i + 19], ' ') AS k FROM (SELECT doc_id, words, unnest(range(1, len(words) - 18)) AS i FROM d WHERE len(words) >= 20)),
+ranked AS (SELECT doc_id, i, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS n FROM win),
+gone AS (SELECT DISTINCT doc_id, i + j AS pos FROM ranked, (SELECT unnest(range(0, 20)) AS j) WHERE n > 1),
+spans AS (SELECT doc_id, count(*) AS n_removed, count(*) FILTER (prior IS NULL OR prior < pos - 1) AS n_spans FROM (SELECT doc_id, pos, lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) AS prior FROM gone) GROUP BY doc_id),
+kept AS (SELECT w.doc_id, string_agg(w.word, ' ' ORDER BY w.pos) AS t FROM (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS pos FROM d) AS w LEFT JOIN gone g ON g.doc_id = w.doc_id AND g.pos = w.pos WHERE g.pos IS NULL GROUP BY w.doc_id)
+SELECT d.doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256, coalesce(n_spans, 0) AS n_spans
+FROM d LEFT JOIN spans s ON s.doc_id = d.doc_id LEFT JOIN kept k ON k.doc_id = d.doc_id"""
+
+_PHRASES = " OR ".join(f"contains(low, '{p}')" for p in BOILERPLATE)
+ORACLE["op9_quality_rules"] = rf"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, {_WORDS} AS words FROM documents),
+win AS (SELECT doc_id, i, array_to_string(words[i:i + 2], ' ') AS k FROM (SELECT doc_id, words, unnest(range(1, len(words) - 1)) AS i FROM d WHERE len(words) >= 3)),
+often AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, k) AS n FROM win) WHERE n > 1),
+rep AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM often, (SELECT unnest(range(0, 3)) AS j) GROUP BY doc_id),
+lines AS (SELECT doc_id, line, lower(line) AS low, list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d)),
+judged AS (SELECT doc_id, line, len(w) AS n,
+  len(list_filter(w, lambda x: regexp_full_match(x, '[|>»·•/\\~-]+'))) > 0.2 * len(w)
+  OR len(list_filter(w, lambda x: regexp_matches(x, '([#*$%&<>]{{2,}}[.,]?|!!+)$'))) > 0.3 * len(w)
+  OR {_PHRASES}
+  OR (NOT regexp_matches(line, '\p{{Ll}}') AND regexp_matches(line, '\p{{Lu}}') AND len(w) >= 5)
+  OR (NOT regexp_matches(line, '[.!?…:;。！？]["''”’»)\]]*[\x20\x09-\x0D]*$') AND NOT regexp_matches(line, '[.,;:!?]') AND len(w) < {SHORT_LINE}) AS fails
+  FROM lines WHERE len(w) > 0),
+per AS (SELECT doc_id, count(*) - count(DISTINCT line) AS dup, sum(CASE WHEN fails THEN 1 ELSE 0 END) AS failed, sum(CASE WHEN fails THEN n ELSE 0 END) AS lost FROM judged GROUP BY doc_id),
+base AS (SELECT d.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars, CAST(length(t) - length(translate(t, '{SYMBOLS}', '')) AS BIGINT) AS n_symbols,
+  CAST(coalesce(dup, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(failed, 0) AS BIGINT) AS n_failed_lines,
+  CASE WHEN len(words) = 0 THEN 0.0 ELSE CAST(coalesce(lost, 0) AS DOUBLE) / len(words) END AS lost_share
+  FROM d LEFT JOIN rep ON rep.doc_id = d.doc_id LEFT JOIN per ON per.doc_id = d.doc_id)
+SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed,
+  NOT (n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words) AND lost_share <= {MAX_LOST} AS kept FROM base"""
