@@ -208,8 +208,8 @@ def test_streams(spark, tmp_path):
     source = tmp_path / "in"
     spark.createDataFrame([("k", i * 1000, "failure") for i in range(7)], "key string, at_ms long, kind string").coalesce(1).write.json(str(source))
     stream = spark.readStream.schema("key string, at_ms long, kind string").json(str(source))
-    q = stateful.login_limiter(stream).writeStream.format("memory").queryName("limited").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    q.awaitTermination()
+    q = stateful.login_limiter(stream).writeStream.format("memory").queryName("limited").option("checkpointLocation", str(tmp_path / "c")).trigger(once=True).start()
+    assert q.awaitTermination(120)
     assert [r.allowed for r in spark.table("limited").orderBy("at_ms").collect()] == [True] * 5 + [False] * 2
 
 
