@@ -53,7 +53,7 @@ def test_run_caps_rows_and_keeps_the_last_of_equal_names(spark):
 
 def test_dialect():
     assert "'yyyy-MM-dd'" in dialect.translate("SELECT to_char(d, 'YYYY-MM-DD')")
-    assert dialect.flat_names('SELECT * FROM eclinics."Shared"."Patients"') == "SELECT * FROM eclinics_shared_patients"
+    assert dialect.flat_names('SELECT a.b FROM main."Shared"."Patients" JOIN x ON 1 = 1') == "SELECT a.b FROM main_shared_patients JOIN x ON 1 = 1"
 
 
 def one(spark, column):

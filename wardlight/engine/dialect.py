@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+_table = re.compile(r'(?i)(\b(?:from|join)\s+)"?(\w+)"?\s*\.\s*"?(\w+)"?\s*\.\s*"?(\w+)"?')
 _to_char = re.compile(r"(?i)(\bto_char\s*\([^()']*(?:\([^()']*\)[^()']*)*,\s*)('(?:[^']|'')*')")
 # Date patterns of TO_CHAR and Spark's.
 PATTERNS = (("YYYY", "yyyy"), ("HH24", "HH"), ("MI", "mm"), ("DD", "dd"), ("SS", "ss"))
@@ -19,11 +20,9 @@ def to_char_patterns(sql: str) -> str:
     return _to_char.sub(change, sql)
 
 
-def flat_names(sql: str, catalogs: tuple[str, ...] = ("eclinics", "telehealth")) -> str:
-    """catalog.schema.table becomes the view catalog_schema_table of the session catalog."""
-    for name in catalogs:
-        sql = re.sub(rf'(?i)"?\b{name}\b"?\s*\.\s*"?(\w+)"?\s*\.\s*"?(\w+)"?', lambda m, n=name: f"{n}_{m[1]}_{m[2]}".lower(), sql)
-    return sql
+def flat_names(sql: str) -> str:
+    """catalog.schema.table after FROM or JOIN becomes the view catalog_schema_table of the session catalog."""
+    return _table.sub(lambda m: m[1] + "_".join(m.group(2, 3, 4)).lower(), sql)
 
 
 def translate(sql: str) -> str:
