@@ -226,7 +226,7 @@ def within_distance(text: np.ndarray, a: np.ndarray, a_size: np.ndarray, b: np.n
     live = np.flatnonzero(near)
     for i in range(int(b_size[live].max()) if len(live) else 0):
         live = live[(i < b_size[live])]
-        if i % 16 == 0:  # on the diagonal a score only grows, and the last row can win back the rest alone
+        if i % 4 == 0:  # on the diagonal a score only grows, and the last row can win back the rest alone
             live = live[score[live] <= 2 * distance + np.maximum(0, b_size[live] - a_size[live])]
         if not len(live):
             break
@@ -295,7 +295,7 @@ def repeated_lines(docs: DataFrame, distance: int = DISTANCE, least: int = MIN_C
     first = materialize(met.groupBy("chunk").applyInArrow(_to_documents, _ASKED))
     release_shuffles(spark)
     asked = first.filter("asks is not null").select("doc_id", "th", "asks")
-    texts = docs.select("doc_id", "th", "text").join(asked, ["doc_id", "th"]).select("doc_id", "th", "text", "asks")
+    texts = docs.select("doc_id", "th", "text").join(asked.hint("merge"), ["doc_id", "th"]).select("doc_id", "th", "text", "asks")
     second = materialize(texts.mapInArrow(_send_texts(least, bits), WIRE).groupBy("bucket").applyInArrow(_verify(distance), INTERVALS))
     release_shuffles(spark)
     return first.drop("asks").unionByName(second)
