@@ -25,10 +25,12 @@ from pyspark.sql import functions as F
 
 from wardlight.llm.exchange import ANSWER, CHUNK_DOCS, ENTRIES, INTERVALS, WIRE, Prefix, apply_to_documents, by_bucket, chunk_documents, chunk_number, pack_documents, squeeze, unpack_documents, unsqueeze, wire
 from wardlight.llm.kernels import U64, mix, prefix_sums, range_hashes
-from wardlight.llm.shared import LOWEST, chunks, keyed, materialize, n_buckets_bits, release_shuffles, runs, text_or_empty
+from wardlight.llm.shared import LOWEST, chunks, keyed, materialize, n_buckets_bits, release_shuffles, runs, small_batches, text_or_empty
 
 DISTANCE = 2
 MIN_CHARS = 20
+#: Bytes of text that become arrays of code points at once.
+CHARS = 2 << 20
 SEGMENTS, TEXT = 30, 31
 _ASKED = "doc_id long, th long, starts binary, ends binary, asks binary"
 _space = np.zeros(256, bool)
@@ -87,7 +89,7 @@ def _entries(distance: int, least: int, bits: int):
     prefix = Prefix(bits)
 
     def run(batches):
-        for k, rows in enumerate(chunks(batches, 4 << 20)):
+        for k, rows in enumerate(chunks(batches, CHARS)):
             rows.sort(key=lambda r: r[0])
             ids = np.asarray([r[0] for r in rows], np.int64)
             text = code_points([r[2] for r in rows])
@@ -334,6 +336,7 @@ def dedup_lines(docs: DataFrame, distance: int = DISTANCE, least: int = MIN_CHAR
         kept, _, removed = _without(text, starts, ends, least)
         return kept, removed, rest
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)).alias("doc_id"), F.xxhash64(text_or_empty()).alias("th"), text_or_empty().alias("text"), F.struct(*[c for c in docs.columns if c != "text"]).alias("rest"))
     schema = f"text string, removed long, rest {rows.schema['rest'].dataType.simpleString()}"
     out = apply_to_documents(rows, repeated_lines(rows.drop("rest"), distance, least), rewrite, schema)

@@ -19,6 +19,17 @@ CHUNK = 8 << 20
 LOWEST = -(1 << 63)
 
 
+#: Rows of text in an Arrow batch, where the session leaves Spark's default of 10,000.
+BATCH_ROWS = 2000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Batches of whole texts must stay small: JVM and Python each hold some of them at once."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -60,6 +71,7 @@ def text_or_empty(name: str = "text") -> Column:
 
 def keyed(docs: DataFrame) -> DataFrame:
     """(doc_id, th, text): th tells rows apart that repeat a doc_id with another text; a null doc_id is the lowest."""
+    small_batches(docs.sparkSession)
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)).alias("doc_id"), F.xxhash64(text_or_empty()).alias("th"), text_or_empty().alias("text"))
 
 
