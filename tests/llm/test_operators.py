@@ -230,6 +230,78 @@ def test_licenses(spark):
     assert got == [("MIT", "notice"), ("CC-BY-NC-4.0", "notice"), ("MIT", "full"), (None, None), (None, None)]
 
 
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."""
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY."""
+BSD2 = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+%s
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY ARE DISCLAIMED."""
+BSD3 = """
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH
+REGARD TO THIS SOFTWARE."""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."""
+LGPL = """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version.
+
+This library is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this file,
+You can obtain one at https://mozilla.org/MPL/2.0/."""
+
+
+def test_licenses_in_wrapped_and_commented_texts(spark):
+    full = {"Apache-2.0": APACHE, "MIT": MIT, "BSD-2-Clause": BSD2 % "", "BSD-3-Clause": BSD2 % BSD3, "ISC": ISC, "GPL": GPL, "LGPL": LGPL}
+    cases = [(t, n, "full") for n, t in full.items()] + [(MPL, "MPL-2.0", "notice")]
+    forms = [lambda t: t, lambda t: "Copyright 2020 A\n" + t, lambda t: "# " + t.replace("\n", "\n# "), lambda t: "/*\n * " + t.replace("\n", "\n * "), lambda t: "dnl " + t.replace("\n", "\r\ndnl "), lambda t: " ".join(t.split())]
+    rows = [(form(t), n, k) for t, n, k in cases for form in forms]
+    rows += [("Copyright 2020 A\nReleased under the MIT License", "MIT", "notice"), ("It is not released under the MIT License.", None, None), ("Released under the MIT Licenses", None, None), ("#" * 100_000 + " software " + "." * 100_000, None, None)]
+    out = license_scan.license_columns(spark.createDataFrame([(k, r[0]) for k, r in enumerate(rows)], "doc_id long, text string"))
+    got = [(r.license, r.license_kind) for r in out.orderBy("doc_id").collect()]
+    assert got == [r[1:] for r in rows]
+
+
+def test_every_known_sentence_has_a_hint():
+    for sentence in [*license_scan.SENTENCES.values(), *(v for _, v in license_scan.VARIANTS)]:
+        assert any(h in sentence for h in license_scan.HINT)
+
+
 def test_suffix_dedup(docs):
     texts = {i: (t or "").encode() for i, t, *_ in ROWS}
     n = 100

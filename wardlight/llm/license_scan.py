@@ -1,8 +1,9 @@
 """Sentence-rule licence recognition, in DataFrame functions alone.
 
-Texts are cut into sentences, sentences are normalised (lower case, runs of anything but
-letters and digits become one blank) and looked up in a fixed table of known licence
-sentences; the sequence of identifiers found is then matched against ordered rules.
+Texts are normalised as a whole (lower case, runs of anything but letters and digits become one
+separator), so that line wraps and comment marks do not matter. Known licence sentences are found
+as leading parts of sentences; from LONG words on they count wherever they stand. The sequence of
+identifiers found is then matched against ordered rules.
 
 Null texts count as empty. A document without a known sentence gets an empty sequence and no
 licence (null). Ties between rules go to the rule listed first. Rows that repeat a doc_id are
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from wardlight.llm.shared import text_or_empty
 
-# Identifiers of known licence sentences and the sentences, normalised.
+# Identifiers of known licence sentences and the sentences or their invariable part, normalised.
 SENTENCES = {
     "apache-licensed": "licensed under the apache license version 2 0",
     "apache-may-not": "you may not use this file except in compliance with the license",
@@ -31,22 +32,33 @@ SENTENCES = {
     "mit-as-is": "the software is provided as is without warranty of any kind express or implied",
     "bsd-redistribution": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
     "bsd-retain": "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
-    "bsd-no-endorse": "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
-    "bsd-as-is": "this software is provided by the copyright holders and contributors as is and any express or implied warranties are disclaimed",
+    "bsd-no-endorse": "nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    "bsd-as-is": "this software is provided by the copyright holders and contributors as is and any express or implied warranties",
     "gpl3-work": "this work is licensed under the gnu general public license version 3",
     "gpl-free": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation",
     "gpl-no-warranty": "this program is distributed in the hope that it will be useful but without any warranty",
     "lgpl-free": "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation",
     "mpl2-subject": "this source code form is subject to the terms of the mozilla public license v 2 0",
     "isc-permission": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
+    "isc-as-is": "the software is provided as is and the author disclaims all warranties with regard to this software",
     "cc-by": "licensed under cc by 4 0",
     "cc-by-sa": "licensed under cc by sa 4 0",
     "cc-by-nc": "licensed under cc by nc 4 0",
-    "cc0": "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work",
+    "cc0": "has waived all copyright and related or neighboring rights to this work",
     "unlicense": "this is free and unencumbered software released into the public domain",
     "reserved": "all rights reserved",
 }
 
+# Other forms of the same sentences.
+VARIANTS = (
+    ("apache-licensed", "the asf licenses this file to you under the apache license version 2 0"),
+    ("bsd-as-is", "this software is provided by the regents and contributors as is and any express or implied warranties"),
+    ("gpl-no-warranty", "this library is distributed in the hope that it will be useful but without any warranty"),
+    ("lgpl-free", "this program is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation"),
+    ("lgpl-free", "this library is free software you can redistribute it and or modify it under the terms of the gnu library general public license as published by the free software foundation"),
+    ("isc-permission", "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted"),
+)
+
 # Fixed values: (licence, kind, identifiers that must follow one another in this order).
 RULES = (
     ("Apache-2.0", "full", ("apache-licensed", "apache-may-not", "apache-copy-at", "apache-as-is")),
@@ -60,6 +72,7 @@ RULES = (
     ("GPL", "full", ("gpl-free", "gpl-no-warranty")),
     ("GPL-3.0", "notice", ("gpl3-work",)),
     ("MPL-2.0", "notice", ("mpl2-subject",)),
+    ("ISC", "full", ("isc-permission", "isc-as-is")),
     ("ISC", "full", ("isc-permission", "mit-as-is")),
     ("CC-BY-NC-4.0", "notice", ("cc-by-nc",)),
     ("CC-BY-SA-4.0", "notice", ("cc-by-sa",)),
@@ -69,22 +82,36 @@ RULES = (
     ("proprietary", "notice", ("reserved",)),
 )
 
-#: A sentence ends at a line end, or at . ; : ! ? before white space.
-SENTENCE_END = r"[\r\n]+|[.;:!?]+(?=[\x20\x09])"
+#: A sentence starts at a line start (after comment marks), or after . ; : ! ? before white space.
+SENTENCE_START = r"[\n\r\x0B\x0C\x01](?:[\x20\x09]*(?:dnl|@?rem)(?=[\x20\x09]))?|[.;:!?](?=[\x20\x09])"
+#: Stands before the first word of a sentence; a blank stands before any other word.
+MARK = "\x01"
+#: Known sentences of so many words need not start a sentence: nothing else says them by chance.
+LONG = 8
 #: Only texts with such a word can hold a known sentence; every known sentence has one.
-HINT = ("licen", "permission", "software", "redistribution", "program", "rights")
+HINT = ("licen", "permission", "software", "redistribution", "program", "rights", "warranty")
+
+
+def _known_pattern() -> str:
+    """Known sentences between separators, those under LONG words after a mark."""
+    separator = f"[\x20{MARK}]"
+    short, long = [], []
+    for sentence in [*SENTENCES.values(), *(v for _, v in VARIANTS)]:
+        words = sentence.split()
+        (long if len(words) >= LONG else short).append(separator.join(words))
+    return f"(?<={separator})(?:{'|'.join(long)}|(?<={MARK})(?:{'|'.join(short)}))(?={separator})"
 
 
 def license_columns(docs: DataFrame) -> DataFrame:
     """docs with license_sentences (identifiers in text order), licenses (all rules met, in rule order), license and license_kind."""
-    known = F.create_map(*[F.lit(x) for pair in ((s, i) for i, s in SENTENCES.items()) for x in pair])
+    known = F.create_map(*[F.lit(x) for pair in ((s, i) for i, s in (*SENTENCES.items(), *VARIANTS)) for x in pair])
     text = text_or_empty()
     hinted = reduce(lambda a, b: a | b, (F.contains(F.col("__low"), F.lit(h)) for h in HINT))
     rows = docs.withColumn("__low", F.lower(text))
-    sentences = F.transform(
-        F.filter(F.split("__low", SENTENCE_END), lambda s: reduce(lambda a, b: a | b, (F.contains(s, F.lit(h)) for h in HINT))),
-        lambda s: F.trim(F.regexp_replace(s, r"[^\p{L}\p{N}]+", " ")),
-    )
+    words = F.regexp_replace(F.concat(F.lit("\n"), "__low", F.lit("\n")), SENTENCE_START, MARK)
+    words = F.regexp_replace(words, rf"[^\p{{L}}\p{{N}}{MARK}]+", " ")
+    words = F.regexp_replace(words, f" ?{MARK}[ {MARK}]*", MARK)
+    sentences = F.transform(F.regexp_extract_all(words, F.lit(_known_pattern()), F.lit(0)), lambda s: F.translate(s, MARK, " "))
     rows = rows.withColumn("__found", F.when(hinted, sentences).otherwise(F.array().cast("array<string>")))
     rows = rows.withColumn("license_sentences", F.filter(F.transform("__found", lambda s: F.try_element_at(known, s)), lambda s: s.isNotNull()))
     sequence = F.concat(F.lit(" "), F.array_join("license_sentences", " "), F.lit(" "))
