@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wardlight.llm.line_dedup import dedup_lines
+from wardlight.llm.line_dedup import EXACT_CHARS, dedup_lines
 from wardlight.llm.mixing import mixed_documents
 from wardlight.llm.ngram_join import one_of_each
 from wardlight.llm.packing import packed_documents
@@ -20,7 +20,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines like an earlier one go, and documents that lose all their words."""
-    return dedup_lines(docs)
+    return dedup_lines(docs, shortest=EXACT_CHARS)
 
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -179,6 +179,24 @@ def test_line_dedup(docs):
     assert {r.doc_id: r.text for r in clean.collect()} == {i: t for i, (t, n) in kept.items() if not n or t.split()}
 
 
+@pytest.mark.parametrize("name", ["op4_line_dedup", "pipeline"])
+def test_registered_line_dedup_removes_short_repeats(spark, tmp_path, name):
+    import corpus_pipeline
+    from wardlight.llm import queries
+
+    texts = ["Un.\n天気がいい。\n  \na long line that stands here once", "Un. \nUn,\n天気がいい。", None, "x\n\nx\na long line that stands here 0nce", "y"]
+    rows = [(k, t, "en", "s", len(t or "")) for k, t in enumerate(texts)]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    kept = [texts[0], "Un,", "", "x\n", "y"]
+    if name == "pipeline":
+        docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+        got = {r.doc_id: r.text or "" for r in dict(corpus_pipeline.STAGES)["line dedup"](spark, docs, str(tmp_path)).collect()}
+        assert got == dict(enumerate(kept))
+    else:
+        got = by_id(queries.op4_line_dedup(spark, str(tmp_path)))
+        assert {i: (r.kept_sha256, r.n_removed) for i, r in got.items()} == {i: (hashlib.sha256(t.encode()).hexdigest(), n) for i, (t, n) in enumerate(zip(kept, (0, 2, 0, 2, 0)))}
+
+
 def test_segments_find_every_pair_within_the_distance():
     draw = random.Random(3)
     for _ in range(400):

@@ -1,7 +1,7 @@
 """Line dedup: lines within a small edit distance of an earlier line are removed (segment-partition edit join).
 
-A line is what stands between line ends, without white space at both ends; lines under MIN_CHARS
-code points are left alone, as short lines repeat by nature. Earlier means in a document of smaller
+A line is what stands between line ends, without white space at both ends. Lines under `least` code
+points are compared for equality alone, those under `shortest` not at all. Earlier means in a document of smaller
 doc_id, or above in the same document; lines are judged on the input.
 
 A line within distance t of another of length l contains one of the latter's t+1 segments, near its
@@ -29,6 +29,8 @@ from wardlight.llm.shared import LOWEST, chunks, keyed, materialize, n_buckets_b
 
 DISTANCE = 2
 MIN_CHARS = 20
+#: The `shortest` of the registered query and the pipeline: every line that is not empty.
+EXACT_CHARS = 1
 #: Bytes of text that become arrays of code points at once.
 CHARS = 2 << 20
 SEGMENTS, TEXT = 30, 31
@@ -85,7 +87,7 @@ def segment_keys(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray, distanc
     return np.concatenate(lines), np.concatenate(keys), np.concatenate(own)
 
 
-def _entries(distance: int, least: int, bits: int):
+def _entries(distance: int, least: int, shortest: int, bits: int):
     prefix = Prefix(bits)
 
     def run(batches):
@@ -93,7 +95,7 @@ def _entries(distance: int, least: int, bits: int):
             rows.sort(key=lambda r: r[0])
             ids = np.asarray([r[0] for r in rows], np.int64)
             text = code_points([r[2] for r in rows])
-            starts, ends = line_spans(text, least)
+            starts, ends = line_spans(text, shortest)
             sizes = np.asarray([len(r[2].decode()) + 1 for r in rows])
             owner = np.searchsorted(np.cumsum(sizes), starts, "right")
             value = (text.astype(U64) + U64(1)) * U64(0x9E3779B97F4A7C15)
@@ -115,6 +117,7 @@ def _entries(distance: int, least: int, bits: int):
                 line = sent[part]
                 out.append((bucket, ENTRIES, chunk, prefix.pack(key[part]), None, squeeze(np.diff(line, prepend=0)), pack_documents(ids, owner[line])))
             distinct = np.sort(order[~same])
+            distinct = distinct[(ends - starts)[distinct] >= least]
             line, key, own = segment_keys(sums, starts[distinct], ends[distinct], distance)
             by_line = np.argsort(line, kind="stable")
             line, key, own = distinct[line[by_line]], prefix.key(key[by_line]), own[by_line]
@@ -192,13 +195,13 @@ def _to_documents(table: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 5, types)], ["doc_id", "th", "starts", "ends", "asks"])
 
 
-def _send_texts(least: int, bits: int):
+def _send_texts(shortest: int, bits: int):
     def run(batches):
         for rows in chunks(batches):
             found, texts = [], []
             for doc_id, th, text, asks in rows:
                 points = code_points([text])
-                starts, ends = line_spans(points, least)
+                starts, ends = line_spans(points, shortest)
                 for line, key in np.frombuffer(asks, "<i8").reshape(2, -1).T.tolist():
                     found.append((doc_id, th, line, key, ends[line] - starts[line]))
                     texts.append(points[starts[line] : ends[line]].astype("<u4").tobytes())
@@ -287,30 +290,35 @@ def _verify(distance: int):
     return run
 
 
-def repeated_lines(docs: DataFrame, distance: int = DISTANCE, least: int = MIN_CHARS) -> DataFrame:
+def _shortest(least: int, shortest: int | None) -> int:
+    return least if shortest is None else max(1, min(shortest, least))
+
+
+def repeated_lines(docs: DataFrame, distance: int = DISTANCE, least: int = MIN_CHARS, shortest: int | None = None) -> DataFrame:
     """(doc_id, th, starts, ends): numbers (among the lines that count) of the lines of keyed documents to remove; a table."""
     if least <= 2 * distance:
         raise ValueError("lines must be longer than twice the distance")
+    shortest = _shortest(least, shortest)
     spark = docs.sparkSession
     bits = n_buckets_bits(spark)
-    met = docs.mapInArrow(_entries(distance, least, bits), WIRE).groupBy("bucket").applyInArrow(_meet(bits), WIRE)
+    met = docs.mapInArrow(_entries(distance, least, shortest, bits), WIRE).groupBy("bucket").applyInArrow(_meet(bits), WIRE)
     first = materialize(met.groupBy("chunk").applyInArrow(_to_documents, _ASKED))
     release_shuffles(spark)
     asked = first.filter("asks is not null").select("doc_id", "th", "asks")
     texts = docs.select("doc_id", "th", "text").join(asked.hint("merge"), ["doc_id", "th"]).select("doc_id", "th", "text", "asks")
-    second = materialize(texts.mapInArrow(_send_texts(least, bits), WIRE).groupBy("bucket").applyInArrow(_verify(distance), INTERVALS))
+    second = materialize(texts.mapInArrow(_send_texts(shortest, bits), WIRE).groupBy("bucket").applyInArrow(_verify(distance), INTERVALS))
     release_shuffles(spark)
     return first.drop("asks").unionByName(second)
 
 
-def _without(text: bytes, starts: np.ndarray, ends: np.ndarray, least: int) -> tuple[str, int, int]:
+def _without(text: bytes, starts: np.ndarray, ends: np.ndarray, shortest: int) -> tuple[str, int, int]:
     """(text without the lines, number of lines with a word, number removed)."""
     gone = {k for a, z in zip(starts.tolist(), ends.tolist()) for k in range(a, z)}
     kept, number, lines = [], 0, 0
     for line in text.decode().split("\n"):
         bare = line.strip(" \t\n\x0b\x0c\r")
         lines += bool(bare)
-        if len(bare) >= least:
+        if len(bare) >= shortest:
             number += 1
             if number - 1 in gone:
                 continue
@@ -318,28 +326,28 @@ def _without(text: bytes, starts: np.ndarray, ends: np.ndarray, least: int) -> t
     return "\n".join(kept), lines, len(gone)
 
 
-def dedup_digests(docs: DataFrame, distance: int = DISTANCE, least: int = MIN_CHARS) -> DataFrame:
+def dedup_digests(docs: DataFrame, distance: int = DISTANCE, least: int = MIN_CHARS, shortest: int | None = None) -> DataFrame:
     """(doc_id, n_lines, n_removed, kept_sha256) of every row; n_lines counts lines with a word."""
 
     def rewrite(doc_id, text, starts, ends, rest):
-        kept, lines, removed = _without(text, starts, ends, least)
+        kept, lines, removed = _without(text, starts, ends, _shortest(least, shortest))
         return doc_id, lines, removed, hashlib.sha256(kept.encode()).hexdigest()
 
     rows = keyed(docs)
-    return apply_to_documents(rows, repeated_lines(rows, distance, least), rewrite, "doc_id long, n_lines long, n_removed long, kept_sha256 string")
+    return apply_to_documents(rows, repeated_lines(rows, distance, least, shortest), rewrite, "doc_id long, n_lines long, n_removed long, kept_sha256 string")
 
 
-def dedup_lines(docs: DataFrame, distance: int = DISTANCE, least: int = MIN_CHARS) -> DataFrame:
+def dedup_lines(docs: DataFrame, distance: int = DISTANCE, least: int = MIN_CHARS, shortest: int | None = None) -> DataFrame:
     """docs without repeated lines, same columns (n_chars anew); documents that lose all their words go."""
 
     def rewrite(doc_id, text, starts, ends, rest):
-        kept, _, removed = _without(text, starts, ends, least)
+        kept, _, removed = _without(text, starts, ends, _shortest(least, shortest))
         return kept, removed, rest
 
     small_batches(docs.sparkSession)
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)).alias("doc_id"), F.xxhash64(text_or_empty()).alias("th"), text_or_empty().alias("text"), F.struct(*[c for c in docs.columns if c != "text"]).alias("rest"))
     schema = f"text string, removed long, rest {rows.schema['rest'].dataType.simpleString()}"
-    out = apply_to_documents(rows, repeated_lines(rows.drop("rest"), distance, least), rewrite, schema)
+    out = apply_to_documents(rows, repeated_lines(rows.drop("rest"), distance, least, shortest), rewrite, schema)
     out = out.filter((F.col("removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     new = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
     return out.select(*[new[c].alias(c) if c in new else F.col("rest")[c].alias(c) for c in docs.columns])

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from wardlight.llm import substring_dedup, suffix_dedup
 from wardlight.llm.fingerprints import fingerprints
 from wardlight.llm.license_scan import license_columns
-from wardlight.llm.line_dedup import dedup_digests
+from wardlight.llm.line_dedup import EXACT_CHARS, dedup_digests
 from wardlight.llm.lm_scoring import train_and_score
 from wardlight.llm.mixing import mix
 from wardlight.llm.ngram_join import near_duplicates
@@ -36,7 +36,7 @@ def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_digests(documents(spark, sf_dir))
+    return dedup_digests(documents(spark, sf_dir), shortest=EXACT_CHARS)
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
