@@ -6,8 +6,8 @@ import os
 
 import pytest
 
-from wardlight.engine.catalog import TABLES, table
-from wardlight.operators import templates
+from wardlight.engine.catalog import ACTIONS, TABLES, table
+from wardlight.operators import audit, templates
 from wardlight.plans.catalog import ORACLE, QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
@@ -53,3 +53,16 @@ def test_scans_read_only_what_is_needed(spark):
 def test_templates_broadcast_their_small_tables(spark):
     plan = templates.patients_by_unit(spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastHashJoin" in plan
+
+
+def test_the_whole_log_is_chained(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "64")
+    try:
+        got = [r.line for r in QUERIES["H1"](spark, FOLDER).orderBy("pos").collect()]
+    finally:
+        spark.conf.set(name, before)
+    events = table(spark, FOLDER, "events").selectExpr("event_id as id", "cast(ts as string) as timestamp", "event_type", "floor(value * 10) as rowsAffected").orderBy("id").collect()
+    assert got == audit.chain([{"id": r.id, "timestamp": r.timestamp, "action": ACTIONS[r.event_type], "rowsAffected": r.rowsAffected} for r in events])
+    assert len(got) == table(spark, FOLDER, "events").count() > 200

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,6 +27,31 @@ def chain(events: list[dict], previous_line: str | None = None) -> list[str]:
     return lines
 
 
+def chained(events: DataFrame, position: str = "id") -> DataFrame:
+    """(pos, line): the chained log of all events in order. One task is the one writer; it holds a batch at a time."""
+
+    def run(batches):
+        pos, last = 0, None
+        for batch in batches:
+            lines = chain(batch.to_pylist(), last)
+            if lines:
+                yield pa.RecordBatch.from_arrays([pa.array(range(pos, pos + len(lines)), pa.int64()), pa.array(lines, pa.string())], ["pos", "line"])
+                pos, last = pos + len(lines), lines[-1]
+
+    return events.repartition(1).sortWithinPartitions(position).mapInArrow(run, "pos long, line string")
+
+
+def stored(log: DataFrame) -> DataFrame:
+    """log as a table in the shared folder; without that setting it stays as it is, and each reader folds it anew."""
+    spark = log.sparkSession
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        return log
+    path = f"{top.rstrip('/')}/wardlight-audit-{uuid.uuid4().hex}"
+    log.write.parquet(path)
+    return spark.read.schema(log.schema).parquet(path)
+
+
 def verify(lines: DataFrame, position: str = "pos", line: str = "line", segment: int = 10_000) -> DataFrame:
     """One row: valid, tampered_at (1-based number of the first bad line) and total_entries.
 

@@ -248,19 +248,31 @@ def week_over_week(spark, d):
     return by.withColumn("change", F.col("n") - F.lag("n").over(Window.orderBy("week")))  # a row for each week
 
 
+def _logged(spark, d):
+    return c.audit(spark, d).selectExpr("seq as id", "cast(ts as string) as timestamp", "action", "rows_affected as rowsAffected")
+
+
 @query("H1")
 def hash_chain(spark, d):
-    """The chained log of the first events; a chain is written by one writer, a batch at a time."""
-    rows = [r.asDict() for r in c.audit(spark, d).orderBy("seq").limit(200).selectExpr("seq as id", "cast(ts as string) as timestamp", "action", "rows_affected as rowsAffected").collect()]
-    return spark.createDataFrame(list(enumerate(audit.chain(rows))), "pos long, line string")
+    """The chained log of all events."""
+    return audit.stored(audit.chained(_logged(spark, d)))
 
 
 @query("H2", "SELECT false AS valid, CAST(151 AS BIGINT) AS tampered_at, CAST(200 AS BIGINT) AS total_entries FROM region LIMIT 1")
 def chain_verdict(spark, d):
-    log = hash_chain(spark, d)
+    """The small case, of the first 200 events; H2_all verifies the whole log."""
+    log = audit.chained(_logged(spark, d).orderBy("id").limit(200))
     return audit.verify(log.withColumn("line", F.when(F.col("pos") == 150, F.replace("line", F.lit('"id":150'), F.lit('"id":999'))).otherwise(F.col("line"))), segment=64)
 
 
+@query("H2_all", "SELECT false AS valid, count(*) - count(*) // 10 AS tampered_at, count(*) AS total_entries FROM events")
+def whole_chain_verdict(spark, d):
+    """The whole log, with a changed line after nine tenths of it."""
+    log, n = hash_chain(spark, d), c.table(spark, d, "events").count()
+    changed = F.regexp_replace("line", r'^\{"id":', '{"id":9')
+    return audit.verify(log.withColumn("line", F.when(F.col("pos") == n - n // 10 - 1, changed).otherwise(F.col("line"))))
+
+
 # Filters, limits and set operations
 
 
