@@ -80,8 +80,23 @@ def expand_abbreviations(text: Column) -> Column:
     return out
 
 
+def one_decimal(y: Column) -> Column:
+    """A positive number with one decimal, rounded by its exact binary value, ties up."""
+    y = y.cast("double")
+    # 20 * y is exactly s + e; both products are exact.
+    a, b = y * 16, y * 4
+    s = a + b
+    e = (a - (s - (s - a))) + (b - (s - a))
+    twentieths = F.floor(s) - ((s == F.floor(s)) & (e < 0)).cast("long")
+    tenths = F.floor((twentieths + 1) / 2).cast("long")
+    # Beyond that, numbers are whole and halves of a long are not exact.
+    return F.when(y < 1e14, F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"))).otherwise(F.format_string("%.1f", y))
+
+
 def abbreviate_number(x: Column) -> Column:
-    return F.when(x >= 1e6, F.concat(F.format_string("%.1f", x / 1e6), F.lit("M"))).when(x >= 1e3, F.concat(F.format_string("%.1f", x / 1e3), F.lit("K"))).otherwise(F.format_number(x, 0))
+    """In millions or thousands with one decimal; below a thousand with grouping and at most three decimals."""
+    small = F.call_function("format_number", F.round(x.cast("double"), 3), F.lit("#,##0.###"))
+    return F.when(x >= 1e6, F.concat(one_decimal(x / 1e6), F.lit("M"))).when(x >= 1e3, F.concat(one_decimal(x / 1e3), F.lit("K"))).otherwise(small)
 
 
 def leading_number(text: Column) -> Column:

@@ -95,6 +95,12 @@ def number_labels(spark, d):
     return o.select("o_orderkey", s.abbreviate_number(F.col("o_totalprice")).alias("label"))
 
 
+@query("A2_all")
+def all_number_labels(spark, d):
+    """Every order. No SQL: DuckDB rounds ties to even; a test compares with decimals."""
+    return c.table(spark, d, "orders").select("o_orderkey", s.abbreviate_number(F.col("o_totalprice")).alias("label"))
+
+
 @query("A3", "WITH g AS (SELECT o_orderpriority AS label, count(*) AS n FROM orders GROUP BY 1) SELECT label, CAST(n AS DOUBLE) / (SELECT sum(n) FROM g) AS share, label || ' ' || CAST(CAST(round(100.0 * n / (SELECT sum(n) FROM g)) AS INTEGER) AS VARCHAR) || '%' AS text FROM g")
 def pie(spark, d):
     g = c.table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("label")).agg(F.count("*").alias("n"))
@@ -489,6 +495,11 @@ def small_texts(spark, d):
     return c.table(spark, d, "customer").filter("c_custkey < 5").select("c_custkey", s.initials(F.lit("jane doe smith")).alias("initials"), s.client_ip(F.lit(" 10.0.0.1 , 10.0.0.2")).alias("ip"))
 
 
+@query("P16_all", "SELECT c_custkey, 'JD' AS initials, '10.0.0.1' AS ip FROM customer")
+def all_small_texts(spark, d):
+    return c.table(spark, d, "customer").select("c_custkey", s.initials(F.lit("jane doe smith")).alias("initials"), s.client_ip(F.lit(" 10.0.0.1 , 10.0.0.2")).alias("ip"))
+
+
 @query("P20", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events")
 def json_fields(spark, d):
     return c.table(spark, d, "events").select("event_id", F.from_json("props", "k int")["k"].alias("k"))
