@@ -421,6 +421,12 @@ def test_quality_columns(docs):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if r.kept}
 
 
+def test_final_punctuation_before_long_line_ends(spark):
+    lines = ["Three words here…" + " " * 9, "Drei Wörter hier。" + "\t\r" * 20, "Three words here…" + "\"'”’»)]" * 3 + " " * 9, "Three words here！", "Three words here " + '"' * 9, "Three … words here"]
+    got = by_id(quality_rules.quality_columns(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")))
+    assert [got[i].n_failed_lines for i in range(len(lines))] == [0, 0, 0, 0, 1, 1]
+
+
 @pytest.mark.parametrize(
     "run",
     [

@@ -44,6 +44,8 @@ BOILERPLATE = (
     "lorem ipsum",
 )
 TERMINAL = "[.!?…:;。！？][\"'”’»)\\]]*[\\x20\\x09-\\x0D]*$"
+#: What TERMINAL allows between the punctuation and the white space at the end.
+CLOSERS = "\"'”’»)]"
 SEPARATOR = r"(?<![^\x20\x09-\x0D])[|>»·•/\\~-]+(?![^\x20\x09-\x0D])"
 SYMBOLIC = r"([#*$%&<>]{2,}[.,]?|!!+)(?![^\x20\x09-\x0D])"
 SYMBOLS = "#*$%&|<>"
@@ -117,7 +119,7 @@ def quality_columns(docs: DataFrame, min_words: int = MIN_WORDS, max_repeat_perc
         F.transform(
             F.transform(  # a lambda evaluates what it names each time it is named
                 F.filter("__lines", lambda x: x.rlike(r"[^\x20\x09-\x0D]")),
-                lambda x: F.struct(x.alias("line"), F.lower(x).alias("low"), F.substring(x, -8, 8).alias("end")),
+                lambda x: F.struct(x.alias("line"), F.lower(x).alias("low"), F.substring(F.rtrim(F.rtrim(x, F.lit(WS_CHARS)), F.lit(CLOSERS)), -1, 1).alias("end")),
             ),
             lambda x: F.struct(x["line"].alias("line"), line_fails(x["line"], x["low"], x["end"]).alias("fails")),
         ),
