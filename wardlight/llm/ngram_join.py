@@ -1,8 +1,8 @@
-"""N-gram Jaccard self-join by a MinHash LSH forest, verified exactly.
+"""N-gram Jaccard self-join by fixed MinHash bands, verified exactly.
 
-Every text gets `trees` labels of up to `deepest` minima. In each tree's sorted prefix trie the
-texts that share a prefix are candidates; matched prefixes are shortened from the deepest until
-the chance that a pair at the threshold shares one in some tree reaches the target recall.
+Every text gets `trees` labels of the same number of minima, which is set before any data is read:
+the most, up to `deepest`, at which the chance that a pair at the threshold shares a whole label in
+some tree reaches the target recall. Texts that share one are candidates. There are no tries.
 Candidates are gathered in blocks of bounded size and compared exactly, as sets of shingles; no
 pair leaves a block, only numbers of links and a spanning forest.
 
