@@ -90,9 +90,33 @@ def test_near_duplicates(docs, find):
     assert got == expected_classes()
 
 
-def test_prefix_depth_reaches_the_recall():
-    d = ngram_join.prefix_depth(0.8, 0.998, 12, 8)
-    assert 1 - (1 - 0.8**d) ** 12 >= 0.998 > 1 - (1 - 0.8 ** (d + 1)) ** 12
+def test_prefixes_shorten_as_far_as_the_pairs_found_ask():
+    least = ngram_join.shallowest(0.8, 0.998, 12, 8)
+    assert ngram_join.reach(0.8, least, 12) >= 0.998 > ngram_join.reach(0.8, least + 1, 12)
+    after = lambda depth, pairs: ngram_join.shortened(depth, pairs, 0.8, 0.998, 12, least)
+    assert after(8, {98: 10**6}) is None  # whole labels find all of these
+    assert after(8, {98: 10**6, 86: 1}) == 6  # too few of those
+    assert after(6, {98: 10**6, 86: 2, 84: 1}) == 5
+    assert after(8, {98: 10**6, 80: 1}) == least
+    assert after(8, {98: 3}) == after(8, {}) == least  # too little is known
+    assert after(least, {80: 5}) is None
+
+
+def test_nodes_of_the_forest(spark):
+    draw = random.Random(4)
+    marks = [[draw.randint(0, 2) for _ in range(8)] for _ in range(300)]
+    rows = [(k, np.asarray(m, "<u2").tobytes()) for k, m in enumerate(marks)]
+    for part in (1, 3):
+        texts = spark.createDataFrame(rows, "rep long, marks binary").repartition(part)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+        got = ngram_join.forest(texts, 2, 4, 2).collect()
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10000)
+        label = lambda r, t, d: tuple(marks[r][4 * t : 4 * t + d])
+        for d in (2, 3, 4):
+            sizes = Counter((t, label(r, t, d)) for r in range(300) for t in (0, 1))
+            met = [r for r in got if r.depth >= d]
+            assert {(r.rep, r.tree) for r in met} == {(r, t) for r in range(300) for t in (0, 1) if sizes[t, label(r, t, d)] > 1}
+            assert len({(r.tree, r.nodes[d - 2]) for r in met}) == len({(r.tree, label(r.rep, r.tree, d)) for r in met}) == len({(r.tree, r.nodes[d - 2], label(r.rep, r.tree, d)) for r in met})
 
 
 def test_one_of_each_keeps_columns_and_one_per_class(docs):

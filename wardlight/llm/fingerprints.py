@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wardlight.llm import ngram_join
 from wardlight.llm.kernels import Words, minhash
 from wardlight.llm.shared import LOWEST, chunks, text_or_empty
 
@@ -103,12 +104,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 32) -> DataFrame:
-    """(doc_id, class_id, n_links): bands of the signatures are joined in Spark, pairs verified by exact Jaccard."""
-    from wardlight.llm.ngram_join import linked_documents
+    """(doc_id, class_id, n_links): bands of the signatures are joined in Spark, pairs verified by exact Jaccard.
 
-    rows = PERMUTATIONS // bands
-
-    def labels(marks: np.ndarray) -> np.ndarray:
-        return np.stack([marks[:, k * rows : (k + 1) * rows] for k in range(bands)], axis=1)
-
-    return linked_documents(docs, threshold, labels, PERMUTATIONS, bands, SHINGLE)
+    The bands are whole: a pair at the threshold shares one of 32 with probability 1 - 5e-8.
+    """
+    return ngram_join.near_duplicates(docs, threshold, trees=bands, deepest=PERMUTATIONS // bands)

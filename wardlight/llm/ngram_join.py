@@ -1,10 +1,18 @@
-"""N-gram Jaccard self-join by fixed MinHash bands, verified exactly.
+"""N-gram Jaccard self-join by a MinHash LSH forest, verified exactly.
+
+Every text has a label of `deepest` minima in each of `trees` trees. The labels of a tree, sorted,
+are a prefix trie: a node is a run of labels with the same first minima, and neighbours in the order
+tell how deep a text still has company. The join starts at the whole labels: texts that share one
+in some tree are candidates, and these are compared exactly. The similarities found tell what a
+prefix length misses: a pair of similarity s meets within d minima with probability
+1 - (1 - s^d)^trees. While that is below the target recall for a band of similarities that has
+pairs, or could hide too many pairs in the bands where none was found, the matched prefixes are
+shortened to the greatest length that is not, and the pairs that meet there for the first time are
+compared. They are never shorter than `shallowest` gives, at which a pair at the threshold itself
+meets with the target recall.
 
-Every text gets `trees` labels of the same number of minima, which is set before any data is read:
-the most, up to `deepest`, at which the chance that a pair at the threshold shares a whole label in
-some tree reaches the target recall. Texts that share one are candidates. There are no tries.
 Candidates are gathered in blocks of bounded size and compared exactly, as sets of shingles; no
-pair leaves a block, only numbers of links and a spanning forest.
+pair leaves a block, only numbers of links, a spanning forest, and numbers of pairs by similarity.
 
 Documents with the same words are one text (a class of copies); links between different texts are
 all kept. A document's n_links counts its copies and all documents of linked texts; class_id is
@@ -19,7 +27,7 @@ result.
 from __future__ import annotations
 
 import hashlib
-from math import comb
+from math import comb, log
 
 import numpy as np
 import pyarrow as pa
@@ -27,63 +35,115 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardlight.llm.kernels import U64, Words, minhash, mix
-from wardlight.llm.shared import LOWEST, chunks, keyed, materialize, release_shuffles, runs
+from wardlight.llm.shared import LOWEST, Steps, chunks, keyed, release_shuffles, runs, text_or_empty
 
 SHINGLE, THRESHOLD, RECALL = 5, 0.8, 0.998
 TREES, DEEPEST = 12, 8
 #: Texts that are compared with one another in one task at once.
 BLOCK = 512
+#: Bands of similarity in which pairs are counted.
+BANDS = 100
 
 
-def prefix_depth(threshold: float = THRESHOLD, recall: float = RECALL, trees: int = TREES, deepest: int = DEEPEST) -> int:
-    """The longest prefix at which a pair at the threshold meets in some tree with the wanted probability."""
-    depth = deepest
-    while depth > 1 and 1 - (1 - threshold**depth) ** trees < recall:
-        depth -= 1
-    return depth
+def reach(similarity: float, depth: int, trees: int) -> float:
+    """The chance that a pair of that similarity shares its first `depth` minima in some tree."""
+    return 1 - (1 - similarity**depth) ** trees
 
 
-def forest_labels(threshold: float, recall: float = RECALL, trees: int = TREES, deepest: int = DEEPEST):
-    depth = prefix_depth(threshold, recall, trees, deepest)
+def shallowest(threshold: float = THRESHOLD, recall: float = RECALL, trees: int = TREES, deepest: int = DEEPEST) -> int:
+    """The longest prefix at which even a pair at the threshold meets with the wanted probability."""
+    return next((d for d in range(deepest, 1, -1) if reach(threshold, d, trees) >= recall), 1)
 
-    def labels(marks: np.ndarray) -> np.ndarray:
-        return marks.reshape(len(marks), trees, depth)
 
-    return labels, trees * depth, trees
+def reaches(depth: int, pairs: dict[int, int], threshold: float, recall: float, trees: int) -> bool:
+    """Whether prefixes of that length reach the recall, by the numbers of pairs found in each band of similarity.
 
+    In a band without a found pair there are, with 95 % confidence, no more than log(0.05) / log(1 - p) pairs.
+    """
+    least = {b: max(threshold, b / BANDS) for b in range(int(threshold * BANDS), BANDS)}
+    chance = {b: reach(s, depth, trees) for b, s in least.items()}
+    if any(chance[b] < recall for b in least if pairs.get(b)):
+        return False
+    hidden = sum(log(0.05) / log(1 - p) for b, p in chance.items() if not pairs.get(b) and 0 < p < 1)
+    return hidden <= (1 - recall) * sum(pairs.values())
 
-def _hash_labels(values: np.ndarray) -> np.ndarray:
-    """One 64-bit hash for each text and tree."""
-    out = np.zeros(values.shape[:2], U64)
-    for j in range(values.shape[2]):
-        out = mix(out * U64(0xC2B2AE3D27D4EB4F) + values[:, :, j] + U64(1))
-    return (out + np.arange(values.shape[1], dtype=U64)).astype(np.int64)
+
+def shortened(depth: int, pairs: dict[int, int], threshold: float, recall: float, trees: int, least: int) -> int | None:
+    """The prefix length to go on with, or None where the present one is enough."""
+    if depth <= least or reaches(depth, pairs, threshold, recall, trees):
+        return None
+    return next((d for d in range(depth - 1, least, -1) if reaches(d, pairs, threshold, recall, trees)), least)
 
 
 def _text_key(words: Words, d: int) -> bytes:
     return hashlib.blake2b(words.hashes[words.first[d] : words.first[d + 1]].tobytes(), digest_size=16).digest()
 
 
-def _describe(labels, permutations: int, shingle: int):
+def _describe(permutations: int, shingle: int):
     def run(batches):
         for rows in chunks(batches):
             words = Words([r[2] for r in rows])
             marks = minhash(*words.shingles(shingle), len(rows), permutations)
-            trees = _hash_labels(labels(marks))
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([r[0] for r in rows], pa.int64()),
                     pa.array([r[1] for r in rows], pa.int64()),
                     pa.array([_text_key(words, d) if words.counts[d] else None for d in range(len(rows))], pa.binary()),
-                    pa.array(list(trees), pa.list_(pa.int64())),
-                    pa.array([m.tobytes() for m in marks.astype(np.uint8)], pa.binary()),
+                    pa.array([m.tobytes() for m in marks.astype("<u2")], pa.binary()),
                 ],
-                ["doc_id", "th", "text_key", "trees", "marks"],
+                ["doc_id", "th", "text_key", "marks"],
             )
 
     return run
 
 
+def _walk(deepest: int, least: int):
+    """Over (tree, rep, label) in order: how deep each text has company, and its node (the first text of the run) at each depth from `least` on."""
+    levels = np.arange(least, deepest + 1)
+
+    def rows_of(tree, rep, label, up, down, nodes):
+        depth = np.maximum(up, down)
+        some = np.flatnonzero(depth >= least)
+        flat = pa.array(nodes[some].ravel(), pa.int64())
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * len(levels)), flat)
+        return pa.RecordBatch.from_arrays([pa.array(rep[some], pa.int64()), pa.array(tree[some], pa.int32()), pa.array(depth[some].astype(np.int32)), lists], ["rep", "tree", "depth", "nodes"])
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            tree, rep = batch.column("tree").to_numpy(), batch.column("rep").to_numpy()
+            label = np.frombuffer(b"".join(batch.column("label").to_pylist()), "<u2").reshape(len(rep), deepest)
+            if held:
+                tree, rep, label = (np.concatenate((h, x)) for h, x in zip(held, (tree, rep, label)))
+            same = (label[1:] == label[:-1]) & (tree[1:] == tree[:-1])[:, None]
+            common = np.logical_and.accumulate(same, axis=1).sum(axis=1)
+            up = np.concatenate(([held[4] if held else 0], common))
+            starts = up[:, None] < levels
+            starts[0] = True
+            place = np.maximum.accumulate(np.where(starts, np.arange(len(rep))[:, None], 0), axis=0)
+            nodes = rep[place]
+            if held:
+                nodes = np.where(place == 0, held[3], nodes)
+            yield rows_of(tree[:-1], rep[:-1], label[:-1], up[:-1], common, nodes[:-1])
+            held = (tree[-1:], rep[-1:], label[-1:], nodes[-1], up[-1])
+        if held:
+            tree, rep, label, nodes, up = held
+            yield rows_of(tree, rep, label, np.array([up]), np.array([0]), nodes[None, :])
+
+    return run
+
+
+def forest(texts: DataFrame, trees: int, deepest: int, least: int) -> DataFrame:
+    """(rep, tree, depth, nodes) of the texts (rep, marks) that share at least their first `least` minima with another one in that tree."""
+    width = 2 * deepest
+    label = F.expr(f"substring(marks, tree * {width} + 1, {width})").alias("label")
+    labels = texts.select("rep", "marks", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree")).select("tree", "rep", label)
+    dealt = labels.repartition("tree", F.substring("label", 1, 2 * least)).sortWithinPartitions("tree", "label", "rep")
+    return dealt.mapInArrow(_walk(deepest, least), "rep long, tree int, depth int, nodes array<long>")
+
+
 def _shingle_sets(shingle: int):
     """Rows of blocks and the text of a representative: its sorted distinct shingles, for each block pair."""
 
@@ -93,29 +153,66 @@ def _shingle_sets(shingle: int):
             hashes, owner = words.shingles(shingle)
             first = np.searchsorted(owner, np.arange(len(rows) + 1))
             out = [(r[0], r[1], r[2], r[4], r[5], np.unique(hashes[first[d] : first[d + 1]]).tobytes()) for d, r in enumerate(rows)]
-            types = (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], ["rep", "copies", "block", "trees", "pairs", "shingles"])
+            types = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], ["rep", "copies", "block", "marks", "pairs", "shingles"])
 
     return run
 
 
-def _candidates(trees: np.ndarray, block: np.ndarray) -> np.ndarray:
-    """Pairs (as i * n + j, i < j) that share a tree's prefix; within the block, or across when there are two."""
-    n, found = len(trees), [np.zeros(0, np.int64)]
-    both = block.min() != block.max()
-    for t in range(trees.shape[1]):
-        order = np.argsort(trees[:, t], kind="stable")
-        begins = runs(trees[order, t])
+def _hash_labels(values: np.ndarray) -> np.ndarray:
+    """One 64-bit hash for each text and tree."""
+    out = np.zeros(values.shape[:2], U64)
+    for j in range(values.shape[2]):
+        out = mix(out * U64(0xC2B2AE3D27D4EB4F) + values[:, :, j] + U64(1))
+    return out
+
+
+def least_agreement(threshold: float, permutations: int, miss: float = 1e-6) -> int:
+    """The most equal minima that a pair at the threshold falls short of with probability `miss` at most."""
+    below, k = 0.0, 0
+    while (below := below + comb(permutations, k) * threshold**k * (1 - threshold) ** (permutations - k)) <= miss:
+        k += 1
+    return k
+
+
+def _candidates(marks: np.ndarray, block: np.ndarray, depth: int, done: int | None, agreement: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs i < j that share a prefix of `depth` minima in some tree, none of `done`, and enough minima in all.
+
+    marks: text, tree, minimum. Within the block, or across when there are two.
+    """
+    n, trees, deepest = marks.shape
+    meet = np.zeros((n, n), bool)
+    prefixes = _hash_labels(marks[:, :, :depth])
+    for t in range(trees):
+        order = np.argsort(prefixes[:, t], kind="stable")
+        begins = runs(prefixes[order, t])
         for a, z in zip(begins, np.append(begins[1:], n)):
             if z - a > 1:
-                members = np.sort(order[a:z])
-                i, j = np.triu_indices(len(members), 1)
-                i, j = members[i], members[j]
-                if both:
-                    cross = block[i] != block[j]
-                    i, j = i[cross], j[cross]
-                found.append(i * n + j)
-    return np.unique(np.concatenate(found))
+                meet[np.ix_(order[a:z], order[a:z])] = True
+    if block.min() != block.max():
+        meet &= block[:, None] != block
+    i, j = np.nonzero(np.triu(meet, 1))
+    keep = np.zeros(len(i), bool)
+    for k in range(0, len(i), 1 << 15):
+        same = marks[i[k : k + (1 << 15)]] == marks[j[k : k + (1 << 15)]]
+        keep[k : k + (1 << 15)] = np.count_nonzero(same, axis=(1, 2)) >= agreement
+        if done is not None:
+            keep[k : k + (1 << 15)] &= ~same[:, :, :done].all(axis=2).any(axis=1)
+    return i[keep], j[keep]
+
+
+def _marks(table: pa.Table, trees: int) -> np.ndarray:
+    return np.frombuffer(b"".join(table["marks"].to_pylist()), "<u2").reshape(table.num_rows, trees, -1)
+
+
+def _screen(trees: int, depth: int, done: int | None, agreement: int):
+    """Texts of a block pair that have a candidate to be compared with."""
+
+    def run(table: pa.Table) -> pa.Table:
+        stays = np.unique(np.concatenate(_candidates(_marks(table, trees), table["block"].to_numpy(), depth, done, agreement)))
+        return pa.table({"rep": table["rep"].to_numpy()[stays], "pair": table["pair"].to_numpy()[stays]})
+
+    return run
 
 
 def _common(shingles: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -144,44 +241,24 @@ def _common(shingles: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndar
     return out
 
 
-def least_agreement(threshold: float, permutations: int, miss: float = 1e-6) -> int:
-    """The most equal minima that a pair at the threshold falls short of with probability `miss` at most."""
-    below, k = 0.0, 0
-    while (below := below + comb(permutations, k) * threshold**k * (1 - threshold) ** (permutations - k)) <= miss:
-        k += 1
-    return k
+_FOUND = "rep long, links long, root long, band int, pairs long"
 
 
-def _screen(agreement: int):
-    """Texts of a block pair that agree with a candidate in enough minima to be compared."""
+def _verify(threshold: float, trees: int, depth: int, done: int | None, agreement: int):
+    """Of a block pair: links and least reachable text of each text (rep, links, root), and numbers of linked pairs by similarity (band, pairs)."""
 
-    def run(table: pa.Table) -> pa.Table:
-        reps, block = table["rep"].to_numpy(), table["block"].to_numpy()
-        pairs = _candidates(np.asarray(table["trees"].to_pylist(), np.int64), block)
-        marks = np.frombuffer(b"".join(table["marks"].to_pylist()), np.uint8).reshape(len(reps), -1)
-        stays = np.zeros(len(reps), bool)
-        for k in range(0, len(pairs), 1 << 16):
-            i, j = pairs[k : k + (1 << 16)] // len(reps), pairs[k : k + (1 << 16)] % len(reps)
-            near = np.count_nonzero(marks[i] == marks[j], axis=1) >= agreement
-            stays[i[near]] = stays[j[near]] = True
-        return pa.table({"rep": reps[stays], "pair": table["pair"].to_numpy()[stays]})
-
-    return run
-
-
-def _verify(threshold: float):
     def run(table: pa.Table) -> pa.Table:
         reps, copies, block = (table[c].to_numpy() for c in ("rep", "copies", "block"))
-        trees = np.asarray(table["trees"].to_pylist(), np.int64)
-        shingles = [np.frombuffer(b, np.uint64) for b in table["shingles"].to_pylist()]
-        pairs = _candidates(trees, block)
         n = len(reps)
-        i, j = pairs // n, pairs % n
-        if len(pairs):
+        i, j = _candidates(_marks(table, trees), block, depth, done, agreement)
+        likeness = np.zeros(0)
+        if len(i):
+            shingles = [np.frombuffer(b, np.uint64) for b in table["shingles"].to_pylist()]
             common = _common(shingles, i, j)
             sizes = np.asarray([len(s) for s in shingles])
-            near = common / (sizes[i] + sizes[j] - common) >= threshold
-            i, j = i[near], j[near]
+            likeness = common / (sizes[i] + sizes[j] - common)
+            near = likeness >= threshold
+            i, j, likeness = i[near], j[near], likeness[near]
         links = np.bincount(i, copies[j], n) + np.bincount(j, copies[i], n)
         root = reps.copy()
         while len(i):
@@ -191,90 +268,127 @@ def _verify(threshold: float):
             np.minimum.at(root, i, least)
             np.minimum.at(root, j, least)
         hit = links > 0
-        return pa.table({"rep": reps[hit], "links": links[hit].astype(np.int64), "root": root[hit]})
+        # Equal sets of shingles in different texts count in the last band.
+        band, pairs = np.unique(np.minimum(likeness * BANDS, BANDS - 1).astype(np.int64), return_counts=True)
+        none = [None] * len(band)
+        return pa.table(
+            {
+                "rep": pa.array([*reps[hit].tolist(), *none], pa.int64()),
+                "links": pa.array([*links[hit].astype(np.int64).tolist(), *none], pa.int64()),
+                "root": pa.array([*root[hit].tolist(), *none], pa.int64()),
+                "band": pa.array([None] * int(hit.sum()) + band.tolist(), pa.int32()),
+                "pairs": pa.array([None] * int(hit.sum()) + pairs.tolist(), pa.int64()),
+            }
+        )
 
     return run
 
 
-def connected(edges: DataFrame) -> DataFrame:
+def connected(edges: DataFrame, steps: Steps) -> DataFrame:
     """(node, class_id): the least node of each component of edges (a, b), a >= b; nodes without edges are left out."""
-    both = materialize(edges.filter("a <> b").select("a", "b").distinct())
+    both = steps.table(edges.filter("a <> b").select("a", "b").distinct())
     both = both.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(both.select(F.col("b").alias("node"), F.col("a").alias("other")))
-    state = materialize(both.groupBy("node").agg(F.least("node", F.min("other")).alias("label")))
+    state = steps.table(both.groupBy("node").agg(F.least("node", F.min("other")).alias("label")))
     while True:
         heard = both.join(state.select(F.col("node").alias("other"), F.col("label").alias("l")), "other").groupBy("node").agg(F.min("l").alias("l"))
         jump = state.select(F.col("node").alias("label"), F.col("label").alias("up"))
         step = state.join(jump, "label", "left").join(heard, "node", "left")
-        new = materialize(step.select("node", F.least("label", "up", "l").alias("label"), (F.least("label", "up", "l") < F.col("label")).alias("moved")))
+        new = steps.table(step.select("node", F.least("label", "up", "l").alias("label"), (F.least("label", "up", "l") < F.col("label")).alias("moved")))
         state = new.select("node", "label")
         if new.filter("moved").isEmpty():
             return state.withColumnRenamed("label", "class_id")
 
 
-def linked_documents(docs: DataFrame, threshold: float, labels, permutations: int, trees: int, shingle: int = SHINGLE) -> DataFrame:
-    spark = docs.sparkSession
-    rows = keyed(docs)
-    described = materialize(rows.mapInArrow(_describe(labels, permutations, shingle), "doc_id long, th long, text_key binary, trees array<long>, marks binary"))
-    texts = described.filter("text_key is not null").groupBy("text_key").agg(F.min(F.struct("doc_id", "th")).alias("first"), F.count("*").alias("copies"), F.first("trees").alias("trees"), F.first("marks").alias("marks"))
-    texts = materialize(texts.withColumn("rep", F.xxhash64("text_key")))
-    member = texts.select("rep", F.posexplode("trees").alias("tree", "prefix"))
-    shared = member.groupBy("tree", "prefix").agg(F.min("rep").alias("least"), F.count("*").alias("size")).filter("size > 1")
-    member = materialize(member.join(shared, ["tree", "prefix"]).select("rep", "tree", "prefix", "least"))
-    # Texts that meet are put into the same block where they can be; hot labels are cut by hash.
-    near = member.groupBy("rep").agg(F.min("least").alias("label"))
-    near = materialize(near)
+def _placed(member: DataFrame, texts: DataFrame, steps: Steps) -> tuple[DataFrame, DataFrame]:
+    """(rep, block) of the texts of member (rep, tree, node), and (block, pairs): numbers of the block pairs in which a node has texts.
+
+    Texts that meet are put into the same block where they can be; what is too large for one is cut by hash.
+    """
+    near = steps.table(member.groupBy("rep").agg(F.min("node").alias("label")))
     blocks = max(1, -(-near.count() // BLOCK))
     big = near.groupBy("label").agg(F.count("*").alias("n"))
     parts = F.ceil(F.col("n") / BLOCK)
-    near = near.join(big, "label").select(
-        "rep", F.pmod(F.xxhash64("label", F.when(parts > 1, F.pmod(F.xxhash64("rep"), parts)).otherwise(0)), F.lit(blocks)).cast("int").alias("block")
-    )
-    near = materialize(near)
-    held = member.select("rep", "tree", "prefix").join(near, "rep").select("tree", "prefix", "block").distinct()
-    held = materialize(held)
-    cross = held.join(held.withColumnRenamed("block", "other"), ["tree", "prefix"]).filter("block < other").select("block", "other").distinct()
+    block = F.pmod(F.xxhash64("label", F.when(parts > 1, F.pmod(F.xxhash64("rep"), parts)).otherwise(0)), F.lit(blocks)).cast("int")
+    near = steps.table(near.join(big, "label").select("rep", block.alias("block")))
+    held = steps.table(member.join(near, "rep").select("tree", "node", "block").distinct())
+    cross = held.join(held.withColumnRenamed("block", "other"), ["tree", "node"]).filter("block < other").select("block", "other").distinct()
     code = (F.col("block").cast("long") * (1 << 31) + F.col("other")).alias("pair")
     listed = cross.unionByName(near.select("block", F.col("block").alias("other")).distinct()).select("block", "other", code)
-    listed = listed.select("block", "pair").unionByName(listed.filter("block <> other").select(F.col("other").alias("block"), "pair")).groupBy("block").agg(F.collect_list("pair").alias("pairs"))
-    placed = texts.join(near, "rep").join(listed, "block")
-    screened = placed.select("rep", "block", "trees", "marks", F.explode("pairs").alias("pair")).groupBy("pair").applyInArrow(_screen(least_agreement(threshold, permutations)), "rep long, pair long")
-    screened = materialize(screened).groupBy("rep").agg(F.collect_list("pair").alias("pairs"))
+    listed = listed.select("block", "pair").unionByName(listed.filter("block <> other").select(F.col("other").alias("block"), "pair"))
+    return near, listed.groupBy("block").agg(F.collect_list("pair").alias("pairs"))
+
+
+def linked_texts(trie: DataFrame, texts: DataFrame, rows: DataFrame, repeats: bool, steps: Steps, threshold: float, trees: int, deepest: int, least: int, depth: int, done: int | None, shingle: int) -> DataFrame:
+    """_FOUND rows of the pairs of texts that share `depth` minima in some tree, and `done` in none; a table."""
+    spark = steps.spark
+    member = trie.filter(F.col("depth") >= depth).select("rep", "tree", F.get("nodes", F.lit(depth - least)).alias("node"), F.get("nodes", F.lit((done or deepest) - least)).alias("child"))
+    if done is not None:  # a node whose texts all share the longer prefix has nothing new
+        fresh = member.groupBy("tree", "node").agg(F.min("child").alias("a"), F.max("child").alias("z")).filter("a <> z").select("tree", "node")
+        member = steps.table(member.join(fresh, ["tree", "node"]))
+    near, listed = _placed(member, texts, steps)
+    agreement = least_agreement(threshold, trees * deepest)
+    placed = texts.join(near, "rep").join(listed, "block").select("rep", "block", "marks", F.explode("pairs").alias("pair"))
+    screened = steps.table(placed.groupBy("pair").applyInArrow(_screen(trees, depth, done, agreement), "rep long, pair long")).groupBy("rep").agg(F.collect_list("pair").alias("pairs"))
     release_shuffles(spark)
-    chosen = materialize(texts.join(near, "rep").join(screened, "rep").select("rep", "first", "copies", "block", "trees", "pairs"))
+    chosen = steps.table(texts.join(near, "rep").join(screened, "rep").select("rep", "first", "copies", "block", "marks", "pairs"))
     release_shuffles(spark)
-    source = chosen.join(rows.select(F.struct("doc_id", "th").alias("first"), "text"), "first").select("rep", "copies", "block", "text", "trees", "pairs")
-    if _repeats(described):
+    source = chosen.join(rows.select(F.struct("doc_id", "th").alias("first"), "text"), "first").select("rep", "copies", "block", "text", "marks", "pairs")
+    if repeats:
         source = source.dropDuplicates(["rep"])
-    sets = source.mapInArrow(_shingle_sets(shingle), "rep long, copies long, block int, trees array<long>, pairs array<long>, shingles binary")
-    found = sets.withColumn("pair", F.explode("pairs")).drop("pairs").groupBy("pair").applyInArrow(_verify(threshold), "rep long, links long, root long")
-    found = materialize(found)
+    sets = source.mapInArrow(_shingle_sets(shingle), "rep long, copies long, block int, marks binary, pairs array<long>, shingles binary")
+    found = sets.withColumn("pair", F.explode("pairs")).drop("pairs").groupBy("pair").applyInArrow(_verify(threshold, trees, depth, done, agreement), _FOUND)
+    found = steps.table(found)
+    release_shuffles(spark)
+    return found
+
+
+def linked_documents(docs: DataFrame, threshold: float, recall: float = RECALL, trees: int = TREES, deepest: int = DEEPEST, shingle: int = SHINGLE) -> DataFrame:
+    """(doc_id, th, class_id, n_links, first), one row per row of docs; first: the (doc_id, th) that stands for the class. A table."""
+    spark = docs.sparkSession
+    steps = Steps(spark)
+    rows = keyed(docs)
+    described = steps.table(rows.mapInArrow(_describe(trees * deepest, shingle), "doc_id long, th long, text_key binary, marks binary"))
+    repeats = _repeats(described)
+    texts = described.filter("text_key is not null").groupBy("text_key").agg(F.min(F.struct("doc_id", "th")).alias("first"), F.count("*").alias("copies"), F.first("marks").alias("marks"))
+    texts = steps.table(texts.withColumn("rep", F.xxhash64("text_key")))
+    least = shallowest(threshold, recall, trees, deepest)
+    trie = steps.table(forest(texts, trees, deepest, least))
     release_shuffles(spark)
-    classes = connected(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
+    depth, done, found, pairs = deepest, None, None, {}
+    while depth is not None:
+        new = linked_texts(trie, texts, rows, repeats, steps, threshold, trees, deepest, least, depth, done, shingle)
+        found = new if found is None else found.unionByName(new)
+        for r in new.filter("band is not null").groupBy("band").agg(F.sum("pairs").alias("n")).collect():  # a row for each band
+            pairs[r["band"]] = pairs.get(r["band"], 0) + r["n"]
+        depth, done = shortened(depth, pairs, threshold, recall, trees, least), depth
+    found = found.filter("rep is not null")
+    classes = connected(found.select(F.col("rep").alias("a"), F.col("root").alias("b")), steps)
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    known = texts.select("text_key", "rep", "copies", F.col("first.doc_id").alias("least")).join(links, "rep", "left").join(classes.withColumnRenamed("node", "rep"), "rep", "left")
-    known = known.select("text_key", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("class_id", "rep").alias("class"), "least")
-    leasts = known.groupBy("class").agg(F.min("least").alias("class_id"))
-    known = known.drop("least").join(leasts, "class")
-    out = described.select("doc_id", "text_key").join(known, "text_key", "left")
-    null_id = lambda c: F.when(c != LOWEST, c)
-    return out.select(
-        null_id(F.col("doc_id")).alias("doc_id"),
-        null_id(F.coalesce("class_id", "doc_id")).alias("class_id"),
-        F.coalesce(F.col("links") + F.col("copies") - 1, F.lit(0)).cast("long").alias("n_links"),
-    )
+    known = texts.select("text_key", "rep", "copies", "first").join(links, "rep", "left").join(classes.withColumnRenamed("node", "rep"), "rep", "left")
+    known = known.select("text_key", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("class_id", "rep").alias("class"), "first")
+    leasts = known.groupBy("class").agg(F.min("first").alias("least"))
+    known = known.drop("first").join(leasts, "class")
+    out = described.select("doc_id", "th", "text_key").join(known, "text_key", "left")
+    out = out.withColumn("first", F.coalesce("least", F.struct("doc_id", "th")))
+    return steps.result(out.select("doc_id", "th", F.col("first.doc_id").alias("class_id"), F.coalesce(F.col("links") + F.col("copies") - 1, F.lit(0)).cast("long").alias("n_links"), "first"))
 
 
 def _repeats(described: DataFrame) -> bool:
     return not described.groupBy("doc_id").count().filter("count > 1").isEmpty()
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, trees: int = TREES, deepest: int = DEEPEST) -> DataFrame:
     """(doc_id, class_id, n_links), one row per row of docs."""
-    labels, permutations, trees = forest_labels(threshold, recall)
-    return linked_documents(docs, threshold, labels, permutations, trees)
+    null_id = lambda c: F.when(F.col(c) != LOWEST, F.col(c)).alias(c)
+    return linked_documents(docs, threshold, recall, trees, deepest).select(null_id("doc_id"), null_id("class_id"), "n_links")
 
 
 def one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents that have the least doc_id of their class, with all their columns."""
-    keep = near_duplicates(docs, threshold).filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
+    """One document of each class, that of the least doc_id (and one of its rows, where they repeat), with all its columns."""
+    found = linked_documents(docs, threshold)
+    keep = found.filter(F.col("first") == F.struct("doc_id", "th")).select(F.col("first").alias("kept")).distinct()
+    rows = docs.select(F.struct("*").alias("row"), F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)).alias("doc_id"), F.xxhash64(text_or_empty()).alias("th")).alias("key"))
+    rows = rows.join(keep, F.col("key") == F.col("kept"), "left_semi")
+    if _repeats(found):
+        rows = rows.dropDuplicates(["key"])
+    return rows.select("row.*")

@@ -53,8 +53,33 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Steps:
+    """Tables of one operator's steps, in a folder of the shared folder that goes when its result is written."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder, self.count = spark, shared_folder(spark), 0
+
+    def table(self, df: DataFrame) -> DataFrame:
+        path = f"{self.folder}/{self.count}"
+        self.count += 1
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def result(self, df: DataFrame) -> DataFrame:
+        """df as a table that outlives the steps."""
+        out = materialize(df)
+        release_shuffles(self.spark)
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        return out
+
+
 def release_shuffles(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of frames that nobody holds any more."""
+    """Let Spark delete the shuffle files of frames that nobody holds any more.
+
+    Spark does so when the JVM driver collects garbage, which may be hours away; until then each
+    step of an operator would keep its shuffle on disk. There is no public call for this.
+    """
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
