@@ -245,17 +245,66 @@ def test_mixing(docs):
         assert r.times in (0, 1, 2) and r.size == len(words_of(ROWS[r.doc_id // 3][1]))
         by_source.setdefault(r.source, []).append(r)
     names = sorted((s for s in by_source if s), key=lambda s: [ord(c) for c in s]) + [None]
-    expected = mixing.targets([by_source[s][0].source_size for s in names])
+    expected = targets([by_source[s][0].source_size for s in names])
     for s, t in zip(names, expected):
         assert by_source[s][0].target == pytest.approx(t)
-        assert abs(sum(r.times * r.size for r in by_source[s]) - t) <= max(r.size for r in by_source[s])
+        sums = {0}
+        for r in by_source[s]:
+            base = int(t // r.source_size)
+            sums = {x + n * r.size for x in sums for n in ((base,) if t % r.source_size == 0 else (base, base + 1))}
+        assert abs(sum(r.times * r.size for r in by_source[s]) - t) == pytest.approx(min(abs(x - t) for x in sums))
     again = {r.doc_id: r.times for r in mixing.mix(docs.repartition(5)).collect()}
     assert again == {r.doc_id: r.times for r in rows}
 
 
-def test_targets_stop_at_twice_a_source():
-    t = mixing.targets([10, 1000, 1000])
-    assert t[0] == 20 and sum(t) == pytest.approx(1.5 * 2010) and all(x <= 2 * s for x, s in zip(t, [10, 1000, 1000]))
+def targets(sizes, weights=(5, 2, 1)):
+    """Shares of 150 % by weight, one source after the other stopped at twice its size."""
+    stopped, weight = {}, [weights[k % 3] for k in range(len(sizes))]
+    while True:
+        rest, free = 1.5 * sum(sizes) - sum(stopped.values()), [k for k in range(len(sizes)) if k not in stopped]
+        out = {k: rest * weight[k] / sum(weight[j] for j in free) for k in free}
+        above = [k for k in free if out[k] > 2 * sizes[k]]
+        if not above:
+            return [{**stopped, **out}[k] for k in range(len(sizes))]
+        stopped |= {k: 2 * sizes[k] for k in above}
+
+
+@pytest.mark.parametrize("sizes", [[10, 1000, 1000], [5], [0, 7], [0, 0], [10**k for k in range(9)], [3] * 200])
+def test_targets_stop_at_twice_a_source(spark, sizes):
+    from wardlight.llm.shared import Steps
+
+    names = [f"s{k:05}" for k in range(len(sizes) - 1)] + [None]
+    frame = spark.createDataFrame(list(zip(names, sizes)), "source string, s long").repartition(3)
+    got = {r.source: r for r in mixing.with_targets(frame, Steps(spark)).collect()}
+    assert [got[n].source_index for n in names] == list(range(len(names)))
+    assert [got[n].target for n in names] == pytest.approx(targets(sizes) if sum(sizes) else [0] * len(sizes))
+
+
+def test_landing_ends_near_the_target():
+    draw = np.random.default_rng(8)
+    for _ in range(50):
+        sizes = np.sort(np.concatenate((draw.integers(1, 20_000, 30), 2 ** np.arange(14))))[::-1]
+        p = draw.integers(0, 2, len(sizes)).astype(float)
+        p[[3, 7]] = 0.4, 0.7
+        taken = lambda q: float((q * sizes).sum())
+        missing = draw.integers(-5000, 20_000)
+        due = taken(np.where((p > 0) & (p < 1), 0, p)) + missing
+        q = mixing.landing(p, sizes, missing)
+        assert set(q) <= {0.0, 1.0} and abs(taken(q) - due) <= 40
+
+
+@pytest.mark.parametrize("few", [20_000, 0])
+def test_takes_stay_near_the_targets_of_many_sources(spark, monkeypatch, few):
+    monkeypatch.setattr(mixing, "FEW_SOURCES", few)
+    draw = random.Random(3)
+    rows = [(k, "w " * int(2 ** (draw.random() * 10)), f"s{min(draw.randint(0, 60), 30)}") for k in range(6000)]
+    out = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    by_source = {}
+    for r in out:
+        by_source.setdefault(r.source, []).append(r)
+    assert len(out) == len(rows)
+    for some in by_source.values():
+        assert abs(sum(r.times * r.size for r in some) - some[0].target) <= max(2, 0.002 * some[0].target)
 
 
 def test_flight_keeps_both_totals():
