@@ -106,7 +106,8 @@ def _walk(deepest: int, least: int):
         some = np.flatnonzero(depth >= least)
         flat = pa.array(nodes[some].ravel(), pa.int64())
         lists = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * len(levels)), flat)
-        return pa.RecordBatch.from_arrays([pa.array(rep[some], pa.int64()), pa.array(tree[some], pa.int32()), pa.array(depth[some].astype(np.int32)), lists], ["rep", "tree", "depth", "nodes"])
+        columns = [pa.array(rep[some], pa.int64()), pa.array(tree[some], pa.int32()), pa.array(depth[some].astype(np.int32)), pa.array(up[some].astype(np.int32)), lists]
+        return pa.RecordBatch.from_arrays(columns, ["rep", "tree", "depth", "up", "nodes"])
 
     def run(batches):
         held = None
@@ -136,12 +137,15 @@ def _walk(deepest: int, least: int):
 
 
 def forest(texts: DataFrame, trees: int, deepest: int, least: int) -> DataFrame:
-    """(rep, tree, depth, nodes) of the texts (rep, marks) that share at least their first `least` minima with another one in that tree."""
+    """(rep, tree, depth, up, nodes) of the texts (rep, marks) that share at least their first `least` minima with another one in that tree.
+
+    depth: the most minima shared; up: those shared with the text before, in the order of labels.
+    """
     width = 2 * deepest
     label = F.expr(f"substring(marks, tree * {width} + 1, {width})").alias("label")
     labels = texts.select("rep", "marks", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree")).select("tree", "rep", label)
     dealt = labels.repartition("tree", F.substring("label", 1, 2 * least)).sortWithinPartitions("tree", "label", "rep")
-    return dealt.mapInArrow(_walk(deepest, least), "rep long, tree int, depth int, nodes array<long>")
+    return dealt.mapInArrow(_walk(deepest, least), "rep long, tree int, depth int, up int, nodes array<long>")
 
 
 def _shingle_sets(shingle: int):
@@ -210,7 +214,7 @@ def _screen(trees: int, depth: int, done: int | None, agreement: int):
 
     def run(table: pa.Table) -> pa.Table:
         stays = np.unique(np.concatenate(_candidates(_marks(table, trees), table["block"].to_numpy(), depth, done, agreement)))
-        return pa.table({"rep": table["rep"].to_numpy()[stays], "pair": table["pair"].to_numpy()[stays]})
+        return table.select(["rep", "block", "pair"]).take(pa.array(stays))
 
     return run
 
@@ -299,38 +303,37 @@ def connected(edges: DataFrame, steps: Steps) -> DataFrame:
             return state.withColumnRenamed("label", "class_id")
 
 
-def _placed(member: DataFrame, texts: DataFrame, steps: Steps) -> tuple[DataFrame, DataFrame]:
-    """(rep, block) of the texts of member (rep, tree, node), and (block, pairs): numbers of the block pairs in which a node has texts.
+def _placed(member: DataFrame, steps: Steps) -> DataFrame:
+    """(rep, block, pair): the block of each text of member (rep, tree, node), and the pairs of blocks in which it shares a node; a table.
 
     Texts that meet are put into the same block where they can be; what is too large for one is cut by hash.
     """
     near = steps.table(member.groupBy("rep").agg(F.min("node").alias("label")))
     blocks = max(1, -(-near.count() // BLOCK))
-    big = near.groupBy("label").agg(F.count("*").alias("n"))
-    parts = F.ceil(F.col("n") / BLOCK)
-    block = F.pmod(F.xxhash64("label", F.when(parts > 1, F.pmod(F.xxhash64("rep"), parts)).otherwise(0)), F.lit(blocks)).cast("int")
-    near = steps.table(near.join(big, "label").select("rep", block.alias("block")))
-    held = steps.table(member.join(near, "rep").select("tree", "node", "block").distinct())
-    cross = held.join(held.withColumnRenamed("block", "other"), ["tree", "node"]).filter("block < other").select("block", "other").distinct()
-    code = (F.col("block").cast("long") * (1 << 31) + F.col("other")).alias("pair")
-    listed = cross.unionByName(near.select("block", F.col("block").alias("other")).distinct()).select("block", "other", code)
-    listed = listed.select("block", "pair").unionByName(listed.filter("block <> other").select(F.col("other").alias("block"), "pair"))
-    return near, listed.groupBy("block").agg(F.collect_list("pair").alias("pairs"))
+    big = near.groupBy("label").agg(F.ceil(F.count("*") / BLOCK).alias("parts")).filter("parts > 1")
+    part = F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("rep"), F.col("parts"))).otherwise(0)
+    near = near.join(big, "label", "left").select("rep", F.pmod(F.xxhash64("label", part), F.lit(blocks)).cast("int").alias("block"))
+    near = steps.table(near)
+    held = steps.table(member.join(near, "rep").select("rep", "tree", "node", "block"))
+    spread = held.groupBy("tree", "node").agg(F.collect_set("block").alias("others")).filter(F.size("others") > 1)
+    met = held.join(spread, ["tree", "node"]).select("rep", "block", F.explode("others").alias("other")).filter("block <> other").distinct()
+    both = near.withColumn("other", F.col("block")).unionByName(met)
+    return steps.table(both.select("rep", "block", (F.least("block", "other").cast("long") * (1 << 31) + F.greatest("block", "other")).alias("pair")))
 
 
 def linked_texts(trie: DataFrame, texts: DataFrame, rows: DataFrame, repeats: bool, steps: Steps, threshold: float, trees: int, deepest: int, least: int, depth: int, done: int | None, shingle: int) -> DataFrame:
     """_FOUND rows of the pairs of texts that share `depth` minima in some tree, and `done` in none; a table."""
     spark = steps.spark
-    member = trie.filter(F.col("depth") >= depth).select("rep", "tree", F.get("nodes", F.lit(depth - least)).alias("node"), F.get("nodes", F.lit((done or deepest) - least)).alias("child"))
+    member = trie.filter(F.col("depth") >= depth).select("rep", "tree", F.get("nodes", F.lit(depth - least)).alias("node"))
     if done is not None:  # a node whose texts all share the longer prefix has nothing new
-        fresh = member.groupBy("tree", "node").agg(F.min("child").alias("a"), F.max("child").alias("z")).filter("a <> z").select("tree", "node")
-        member = steps.table(member.join(fresh, ["tree", "node"]))
-    near, listed = _placed(member, texts, steps)
+        fresh = trie.filter((F.col("up") >= depth) & (F.col("up") < done)).select("tree", F.get("nodes", F.lit(depth - least)).alias("node")).distinct()
+        member = steps.table(member.join(fresh, ["tree", "node"], "left_semi"))
+    placed = _placed(member, steps)
     agreement = least_agreement(threshold, trees * deepest)
-    placed = texts.join(near, "rep").join(listed, "block").select("rep", "block", "marks", F.explode("pairs").alias("pair"))
-    screened = steps.table(placed.groupBy("pair").applyInArrow(_screen(trees, depth, done, agreement), "rep long, pair long")).groupBy("rep").agg(F.collect_list("pair").alias("pairs"))
+    screened = placed.join(texts.select("rep", "marks"), "rep").groupBy("pair").applyInArrow(_screen(trees, depth, done, agreement), "rep long, block int, pair long")
+    screened = steps.table(screened).groupBy("rep").agg(F.first("block").alias("block"), F.collect_list("pair").alias("pairs"))
     release_shuffles(spark)
-    chosen = steps.table(texts.join(near, "rep").join(screened, "rep").select("rep", "first", "copies", "block", "marks", "pairs"))
+    chosen = steps.table(texts.join(screened, "rep").select("rep", "first", "copies", "block", "marks", "pairs"))
     release_shuffles(spark)
     source = chosen.join(rows.select(F.struct("doc_id", "th").alias("first"), "text"), "first").select("rep", "copies", "block", "text", "marks", "pairs")
     if repeats:
