@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardlight.llm.kernels import U64
+from wardlight.llm.kernels import U64, mix
 from wardlight.llm.shared import LOWEST, merge_intervals, text_bytes
 
 #: Rows between map, buckets and chunks; what the blobs hold depends on kind and operator.
@@ -95,7 +95,8 @@ def unpack_documents(blob: bytes) -> np.ndarray:
 def chunk_documents(chunk: int, bits: int, ids, ths, first: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple:
     """The row that tells a chunk's documents and what it already found inside itself."""
     own = np.concatenate((starts, ends)).astype("<i8").tobytes()
-    return (chunk % (1 << bits), CHUNK_DOCS, chunk, np.asarray(ids, "<i8").tobytes(), np.asarray(ths, "<i8").tobytes(), np.asarray(first, "<i8").tobytes(), own)
+    bucket = int(mix(np.array([chunk + 1], U64))[0] >> U64(64 - bits))
+    return (bucket, CHUNK_DOCS, chunk, np.asarray(ids, "<i8").tobytes(), np.asarray(ths, "<i8").tobytes(), np.asarray(first, "<i8").tobytes(), own)
 
 
 def to_intervals(length: int):

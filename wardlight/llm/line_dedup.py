@@ -300,7 +300,7 @@ def repeated_lines(docs: DataFrame, distance: int = DISTANCE, least: int = MIN_C
         raise ValueError("lines must be longer than twice the distance")
     shortest = _shortest(least, shortest)
     spark = docs.sparkSession
-    bits = n_buckets_bits(spark)
+    bits = n_buckets_bits(docs)
     met = docs.mapInArrow(_entries(distance, least, shortest, bits), WIRE).groupBy("bucket").applyInArrow(_meet(bits), WIRE)
     first = materialize(met.groupBy("chunk").applyInArrow(_to_documents, _ASKED))
     release_shuffles(spark)

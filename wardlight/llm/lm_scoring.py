@@ -29,6 +29,8 @@ from wardlight.llm.shared import chunks, materialize, n_buckets_bits, release_sh
 
 #: Text that a map task combines before counts are sent.
 COMBINE = 16 << 20
+#: Bytes of training text for which there is a shard.
+SHARD_TEXT = 16 << 20
 #: Leading bits of the hash that stand for a word.
 WORD_BITS = 56
 END, START = U64(0xA24BAED4963EE407), U64(0x9FB21C651E98DF25)
@@ -238,8 +240,8 @@ class Model:
 def train(docs: DataFrame) -> Model:
     """A model of all rows of docs (a column text)."""
     spark = docs.sparkSession
-    bits, folder = n_buckets_bits(spark), shared_folder(spark)
     texts = docs.select(text_or_empty().alias("text"))
+    bits, folder = n_buckets_bits(texts, SHARD_TEXT), shared_folder(spark)
     counted = texts.mapInArrow(_word_counts(bits), WIRE).groupBy("bucket").applyInArrow(_word_shard(bits, folder, 64), WIRE)
     rows = materialize(counted.select("a", "b", "c")).collect()  # a row for each bucket
     tokens, types = (sum(int(np.frombuffer(r["a"], "<i8")[i]) for r in rows) for i in (0, 1))

@@ -84,10 +84,14 @@ def release_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def n_buckets_bits(spark: SparkSession) -> int:
-    """log2 of the number of hash buckets: as many as shuffle partitions, which are set to fit the data."""
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return min(24, max(3, (n - 1).bit_length()))
+#: Bytes of text for which there is a hash bucket.
+BUCKET_BYTES = 8 << 20
+
+
+def n_buckets_bits(texts: DataFrame, each: int = BUCKET_BYTES) -> int:
+    """log2 of the number of hash buckets: one for each so many bytes of text, whatever the session's settings, so that a bucket stays bounded."""
+    total = texts.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    return max(3, (-(-total // each) - 1).bit_length())
 
 
 def text_or_empty(name: str = "text") -> Column:

@@ -43,8 +43,11 @@ def _entries(window: int, bits: int):
             who = owner[order]
             lost = same & ((ids[who] > ids[who[group]]) | np.concatenate(([False], who[1:] == who[:-1])))
             at = np.sort(starts[order[lost]])
+            inside = words.document[at]
+            a, z = merge_intervals(at + inside, at + window + inside)  # a gap keeps neighbouring documents apart
+            inside = np.searchsorted(words.first[:-1] + np.arange(len(rows)), a, "right") - 1
             chunk = chunk_number(k)
-            out = [chunk_documents(chunk, bits, ids, [r[1] for r in rows], words.first[:-1], at, at + window)]
+            out = [chunk_documents(chunk, bits, ids, [r[1] for r in rows], words.first[:-1], a - inside, z - inside)]
             sent = np.sort(order[~lost])
             for bucket, part in by_bucket(prefix.bucket(keys[sent])):
                 part = sent[part]
@@ -89,8 +92,7 @@ def _count(bits: int):
 
 def repeated_intervals(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc_id, th, starts, ends): word intervals of keyed documents that repeat earlier text."""
-    spark = docs.sparkSession
-    bits = n_buckets_bits(spark)
+    bits = n_buckets_bits(docs)
     sent = docs.mapInArrow(_entries(window, bits), WIRE)
     answered = sent.groupBy("bucket").applyInArrow(_count(bits), WIRE)
     return answered.groupBy("chunk").applyInArrow(to_intervals(window), INTERVALS)

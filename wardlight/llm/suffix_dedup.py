@@ -342,7 +342,7 @@ def _expand(length: int, bits: int):
 def repeated_intervals(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(doc_id, th, starts, ends): byte intervals of keyed documents that repeat elsewhere; a table."""
     spark = docs.sparkSession
-    bits = n_buckets_bits(spark)
+    bits = n_buckets_bits(docs)
     compared = docs.mapInArrow(_entries(length, bits), WIRE).groupBy("bucket").applyInArrow(_compare(length, bits), WIRE)
     first = materialize(compared.groupBy("chunk").applyInArrow(_to_documents(length), _ASKED))
     release_shuffles(spark)
