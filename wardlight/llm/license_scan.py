@@ -47,6 +47,25 @@ SENTENCES = {
     "cc0": "has waived all copyright and related or neighboring rights to this work",
     "unlicense": "this is free and unencumbered software released into the public domain",
     "reserved": "all rights reserved",
+    "agpl-free": "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation",
+    "zlib-as-is": "this software is provided as is without any express or implied warranty",
+    "zlib-grant": "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely",
+    "bsl-grant": "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license",
+    "epl2-available": "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0",
+    "epl1-available": "this program and the accompanying materials are made available under the terms of the eclipse public license v1 0",
+    "cddl-subject": "the contents of this file are subject to the terms of the common development and distribution license",
+    "spdx-apache": "spdx license identifier apache 2 0",
+    "spdx-mit": "spdx license identifier mit",
+    "spdx-bsd3": "spdx license identifier bsd 3 clause",
+    "spdx-bsd2": "spdx license identifier bsd 2 clause",
+    "spdx-isc": "spdx license identifier isc",
+    "spdx-gpl2": "spdx license identifier gpl 2 0",
+    "spdx-gpl3": "spdx license identifier gpl 3 0",
+    "spdx-lgpl": "spdx license identifier lgpl",
+    "spdx-agpl": "spdx license identifier agpl 3 0",
+    "spdx-mpl2": "spdx license identifier mpl 2 0",
+    "spdx-unlicense": "spdx license identifier unlicense",
+    "spdx-cc0": "spdx license identifier cc0 1 0",
 }
 
 # Other forms of the same sentences.
@@ -63,22 +82,40 @@ VARIANTS = (
 RULES = (
     ("Apache-2.0", "full", ("apache-licensed", "apache-may-not", "apache-copy-at", "apache-as-is")),
     ("Apache-2.0", "notice", ("apache-licensed",)),
+    ("Apache-2.0", "notice", ("spdx-apache",)),
     ("BSD-3-Clause", "full", ("bsd-redistribution", "bsd-no-endorse", "bsd-as-is")),
+    ("BSD-3-Clause", "notice", ("spdx-bsd3",)),
     ("BSD-2-Clause", "full", ("bsd-redistribution", "bsd-retain", "bsd-as-is")),
+    ("BSD-2-Clause", "notice", ("spdx-bsd2",)),
     ("MIT", "full", ("mit-permission", "mit-as-is")),
     ("MIT", "notice", ("mit-released",)),
     ("MIT", "notice", ("mit-licensed",)),
+    ("MIT", "notice", ("spdx-mit",)),
     ("LGPL", "full", ("lgpl-free", "gpl-no-warranty")),
+    ("LGPL", "notice", ("spdx-lgpl",)),
+    ("AGPL-3.0", "full", ("agpl-free", "gpl-no-warranty")),
+    ("AGPL-3.0", "notice", ("spdx-agpl",)),
     ("GPL", "full", ("gpl-free", "gpl-no-warranty")),
     ("GPL-3.0", "notice", ("gpl3-work",)),
+    ("GPL-3.0", "notice", ("spdx-gpl3",)),
+    ("GPL-2.0", "notice", ("spdx-gpl2",)),
     ("MPL-2.0", "notice", ("mpl2-subject",)),
+    ("MPL-2.0", "notice", ("spdx-mpl2",)),
+    ("EPL-2.0", "notice", ("epl2-available",)),
+    ("EPL-1.0", "notice", ("epl1-available",)),
+    ("CDDL", "notice", ("cddl-subject",)),
+    ("BSL-1.0", "full", ("bsl-grant", "mit-as-is")),
+    ("Zlib", "full", ("zlib-as-is", "zlib-grant")),
     ("ISC", "full", ("isc-permission", "isc-as-is")),
     ("ISC", "full", ("isc-permission", "mit-as-is")),
+    ("ISC", "notice", ("spdx-isc",)),
     ("CC-BY-NC-4.0", "notice", ("cc-by-nc",)),
     ("CC-BY-SA-4.0", "notice", ("cc-by-sa",)),
     ("CC-BY-4.0", "notice", ("cc-by",)),
     ("CC0-1.0", "notice", ("cc0",)),
+    ("CC0-1.0", "notice", ("spdx-cc0",)),
     ("Unlicense", "full", ("unlicense",)),
+    ("Unlicense", "notice", ("spdx-unlicense",)),
     ("proprietary", "notice", ("reserved",)),
 )
 
