@@ -14,7 +14,7 @@ from wardlight.llm.shared import materialize
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejected documents go."""
+    """Failing lines go, and rejected documents."""
     return quality_filter(docs)
 
 

@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wardlight.llm.exchange import ANSWER, CHUNK_DOCS, ENTRIES, INTERVALS, WIRE, Prefix, apply_to_documents, by_bucket, chunk_documents, chunk_number, pack_documents, squeeze, unpack_documents, unsqueeze, wire
 from wardlight.llm.kernels import U64, mix, prefix_sums, range_hashes
@@ -345,9 +346,13 @@ def dedup_lines(docs: DataFrame, distance: int = DISTANCE, least: int = MIN_CHAR
         return kept, removed, rest
 
     small_batches(docs.sparkSession)
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)).alias("doc_id"), F.xxhash64(text_or_empty()).alias("th"), text_or_empty().alias("text"), F.struct(*[c for c in docs.columns if c != "text"]).alias("rest"))
-    schema = f"text string, removed long, rest {rows.schema['rest'].dataType.simpleString()}"
+    name = lambda c: F.col("`" + c.replace("`", "``") + "`")
+    rest = F.struct(*[name(c) for c in docs.columns if c != "text"])
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)).alias("doc_id"), F.xxhash64(text_or_empty()).alias("th"), text_or_empty().alias("text"), rest.alias("rest"))
+    schema = T.StructType([T.StructField("text", T.StringType()), T.StructField("removed", T.LongType()), T.StructField("rest", rows.schema["rest"].dataType)])
     out = apply_to_documents(rows, repeated_lines(rows.drop("rest"), distance, least, shortest), rewrite, schema)
     out = out.filter((F.col("removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    new = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    new = {"text": F.col("text")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
     return out.select(*[new[c].alias(c) if c in new else F.col("rest")[c].alias(c) for c in docs.columns])

@@ -4,6 +4,8 @@ Every line is judged by itself (punctuation, navigation, boilerplate, symbols, c
 failing lines are taken out, and a document that loses too much of its text that way, or that
 fails the base rules on length and repetition, is rejected.
 
+Lines without a word never fail and stay where they are: a text without failing lines is left as it is.
+
 Null texts count as empty; an empty or blank text has no words and fails the base rules.
 Repeated rows are judged one by one. Other columns are carried along untouched; columns of
 the input that share a name with one of the results are replaced by the result.
@@ -118,14 +120,14 @@ def quality_columns(docs: DataFrame, min_words: int = MIN_WORDS, max_repeat_perc
         "__judged",
         F.transform(
             F.transform(  # a lambda evaluates what it names each time it is named
-                F.filter("__lines", lambda x: x.rlike(r"[^\x20\x09-\x0D]")),
-                lambda x: F.struct(x.alias("line"), F.lower(x).alias("low"), F.substring(F.rtrim(F.rtrim(x, F.lit(WS_CHARS)), F.lit(CLOSERS)), -1, 1).alias("end")),
+                "__lines",
+                lambda x: F.struct(x.alias("line"), x.rlike(r"[^\x20\x09-\x0D]").alias("says"), F.lower(x).alias("low"), F.substring(F.rtrim(F.rtrim(x, F.lit(WS_CHARS)), F.lit(CLOSERS)), -1, 1).alias("end")),
             ),
-            lambda x: F.struct(x["line"].alias("line"), line_fails(x["line"], x["low"], x["end"]).alias("fails")),
+            lambda x: F.struct(x["line"].alias("line"), x["says"].alias("says"), F.when(x["says"], line_fails(x["line"], x["low"], x["end"])).otherwise(False).alias("fails")),
         ),
     )
     r = F.col("__repeats")
-    lines = F.transform("__judged", lambda x: x["line"])
+    lines = F.transform(F.filter("__judged", lambda x: x["says"]), lambda x: x["line"])
     clean = F.array_join(F.transform(F.filter("__judged", lambda x: ~x["fails"]), lambda x: x["line"]), "\n")
     failed = F.array_join(F.transform(F.filter("__judged", lambda x: x["fails"]), lambda x: x["line"]), "\n")
     lost = F.regexp_count(failed, F.lit(r"[^\x20\x09-\x0D]+"))
@@ -133,7 +135,7 @@ def quality_columns(docs: DataFrame, min_words: int = MIN_WORDS, max_repeat_perc
         {
             "word_chars": F.length(text).cast("long") - F.length(F.regexp_replace(text, r"[^\x20\x09-\x0D]+", "")),
             "n_symbols": (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"),
-            "n_dup_lines": (F.size("__judged") - F.size(F.array_distinct(lines))).cast("long"),
+            "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
             "n_repeat_words": F.aggregate(
                 F.transform(r, lambda x, k: F.when(k == 0, F.lit(3).cast("long")).otherwise(F.least(F.lit(3).cast("long"), x - F.get(r, k - 1)))), F.lit(0).cast("long"), lambda a, x: a + x
             ),
@@ -148,8 +150,11 @@ def quality_columns(docs: DataFrame, min_words: int = MIN_WORDS, max_repeat_perc
 
 
 def quality_filter(docs: DataFrame) -> DataFrame:
-    """The documents that pass, with the columns and the whole texts they came with."""
+    """The documents that pass, without their failing lines, with the columns they came with (n_chars anew)."""
     marked = quality_columns(docs.select(F.struct("*").alias("__row"), text_or_empty().alias("text")))
+    row = F.col("__row").withField("text", F.col("clean_text"))
+    if "n_chars" in docs.columns:
+        row = row.withField("n_chars", F.length("clean_text").cast(docs.schema["n_chars"].dataType))
     # A filter would be pushed below the columns it reads and evaluate them again for each word; it can't pass a generator.
-    passed = marked.select(F.explode_outer(F.when(F.col("kept"), F.array("__row"))).alias("__row"))
+    passed = marked.select(F.explode_outer(F.when(F.col("kept"), F.array(row))).alias("__row"))
     return passed.filter(F.col("__row").isNotNull()).select("__row.*")
