@@ -10,7 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from wardlight.llm import fingerprints, license_scan, line_dedup, lm_scoring, mixing, ngram_join, packing, quality_rules, substring_dedup, suffix_dedup
-from wardlight.llm.queries import tokenizer_path
+from wardlight.llm.queries import ORACLE as QUERY_SQL
+from wardlight.llm.queries import QUERIES, tokenizer_path
 from wardlight.llm.shared import merge_intervals
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -160,14 +161,44 @@ def test_language_model_probabilities_add_up_and_base_matches(spark, docs):
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[i], len(tokens), sum(counts[w] > 0 for w in tokens), total)
         assert r.base_score == pytest.approx(sum(np.log10((counts[w] + 1) / (total + types + 1)) for w in tokens))
         assert r.score < 0
-    # After a fixed context, the probabilities of all words, the end and an unknown word make 1.
-    model = lm_scoring.train(docs)
-    vocabulary = sorted({w.decode() for _, t, *_ in ROWS for w in (t or "").encode().lower().split()}) + ["never-seen"]
-    context = ROWS[8][1].split()[0].lower()
-    frame = spark.createDataFrame([(k, f"{context} {w}") for k, w in enumerate(vocabulary)] + [(-1, context)], "doc_id long, text string")
-    pairs = {r.doc_id: r.score for r in lm_scoring.score(frame, model).collect()}
-    ends = {r.doc_id: r.score for r in lm_scoring.score(spark.createDataFrame([(k, w) for k, w in enumerate(vocabulary)] + [(-1, "")], "doc_id long, text string"), model).collect()}
-    assert len(pairs) == len(ends) and all(x < 0 for x in pairs.values())
+    expected = kneser_ney([t for i, t, *_ in ROWS if not held[i]])
+    for i, t, *_ in ROWS:
+        assert got[i].score == pytest.approx(expected(t), rel=1e-9)
+
+
+def discounts(counts):
+    n = [sum(c == k for c in counts) for k in (1, 2, 3, 4)]
+    if 0 in n:
+        return [0.5, 1.0, 1.5]
+    y = n[0] / (n[0] + 2 * n[1])
+    d = [1 - 2 * y * n[1] / n[0], 2 - 3 * y * n[2] / n[1], 3 - 4 * y * n[3] / n[2]]
+    return [x if 0 < x <= k + 1 else (0.5, 1.0, 1.5)[k] for k, x in enumerate(d)]
+
+
+def kneser_ney(texts):
+    """log10 probability of a text by an interpolated modified Kneser-Ney bigram model, from its definition."""
+    tokens = lambda t: [w for w in (t or "").encode().lower().split()] + ["</s>"]
+    pairs = Counter(p for t in texts for p in zip(["<s>", *tokens(t)], tokens(t)))
+    types = {w for _, w in pairs}
+    before = Counter(w for _, w in pairs)
+    d, f = discounts(pairs.values()), discounts(before.values())
+    total, after = Counter(), {}
+    for (u, w), c in pairs.items():
+        total[u] += c
+        after.setdefault(u, []).append(c)
+    less = lambda c, by: c - by[min(c, 3) - 1] if c else 0.0
+    left = sum(f[min(n, 3) - 1] for n in before.values()) / len(pairs)
+
+    def p(u, w):
+        lower = less(before[w], f) / len(pairs) + left / (len(types) + 1)
+        if u not in total:
+            return lower
+        free = sum(d[min(c, 3) - 1] for c in after[u]) / total[u]
+        return less(pairs[u, w], d) / total[u] + free * lower
+
+    some = next(iter(total))
+    assert sum(p(some, w) for w in [*types, "never seen"]) == pytest.approx(1)
+    return lambda t: sum(np.log10(p(u, w)) for u, w in zip(["<s>", *tokens(t)], tokens(t)))
 
 
 def test_line_dedup(docs):
@@ -377,11 +408,30 @@ License, v. 2.0. If a copy of the MPL was not distributed with this file,
 You can obtain one at https://mozilla.org/MPL/2.0/."""
 
 
+ZLIB = """This software is provided 'as-is', without any express or implied
+warranty. In no event will the authors be held liable for any damages
+arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose,
+including commercial applications, and to alter it and redistribute it
+freely, subject to the following restrictions:"""
+BSL = """Permission is hereby granted, free of charge, to any person or organization
+obtaining a copy of the software and accompanying documentation covered by
+this license (the "Software") to use, reproduce, display, distribute.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY."""
+EPL = """This program and the accompanying materials are made available under the
+terms of the Eclipse Public License 2.0 which is available at
+https://www.eclipse.org/legal/epl-2.0/"""
+LICENSED = [(APACHE, "Apache-2.0", "full"), (MIT, "MIT", "full"), (BSD2 % "", "BSD-2-Clause", "full"), (BSD2 % BSD3, "BSD-3-Clause", "full"), (ISC, "ISC", "full"), (GPL, "GPL", "full"), (LGPL, "LGPL", "full")]
+LICENSED += [(GPL.replace("GNU General", "GNU Affero General"), "AGPL-3.0", "full"), (ZLIB, "Zlib", "full"), (BSL, "BSL-1.0", "full"), (EPL, "EPL-2.0", "notice"), (MPL, "MPL-2.0", "notice")]
+LICENSED += [(f"SPDX-License-Identifier: {n}", n, "notice") for n in ("Apache-2.0", "MIT", "BSD-3-Clause", "BSD-2-Clause", "ISC", "MPL-2.0", "GPL-3.0", "CC0-1.0", "Unlicense")]
+
+
 def test_licenses_in_wrapped_and_commented_texts(spark):
-    full = {"Apache-2.0": APACHE, "MIT": MIT, "BSD-2-Clause": BSD2 % "", "BSD-3-Clause": BSD2 % BSD3, "ISC": ISC, "GPL": GPL, "LGPL": LGPL}
-    cases = [(t, n, "full") for n, t in full.items()] + [(MPL, "MPL-2.0", "notice")]
     forms = [lambda t: t, lambda t: "Copyright 2020 A\n" + t, lambda t: "# " + t.replace("\n", "\n# "), lambda t: "/*\n * " + t.replace("\n", "\n * "), lambda t: "dnl " + t.replace("\n", "\r\ndnl "), lambda t: " ".join(t.split())]
-    rows = [(form(t), n, k) for t, n, k in cases for form in forms]
+    rows = [(form(t), n, k) for t, n, k in LICENSED for form in forms]
     rows += [("Copyright 2020 A\nReleased under the MIT License", "MIT", "notice"), ("It is not released under the MIT License.", None, None), ("Released under the MIT Licenses", None, None), ("#" * 100_000 + " software " + "." * 100_000, None, None)]
     out = license_scan.license_columns(spark.createDataFrame([(k, r[0]) for k, r in enumerate(rows)], "doc_id long, text string"))
     got = [(r.license, r.license_kind) for r in out.orderBy("doc_id").collect()]
@@ -476,6 +526,34 @@ def test_encoder_agrees_with_the_tokenizer():
         assert encoder.encode(t) == np.asarray(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
 
 
+def test_encoder_agrees_on_every_word_of_the_documents():
+    import pyarrow.parquet as pq
+    from tokenizers import Tokenizer
+
+    encoder, tokenizer = packing.Encoder(tokenizer_path()), Tokenizer.from_file(tokenizer_path())
+    words = sorted({w for t in pq.read_table("/root/testdata/sf0.01/documents.parquet")["text"].to_pylist() for w in (t or "").split()})
+    for text, ids in zip(words, tokenizer.encode_batch([" " + w for w in words], add_special_tokens=False)):
+        assert encoder._ids(" " + text) == np.asarray(ids.ids, "<u4").tobytes(), text
+
+
+@pytest.mark.parametrize("name", sorted(QUERY_SQL))
+def test_queries_against_their_sql(spark, tmp_path, name):
+    import duckdb
+
+    path = str(tmp_path / "documents.parquet")
+    texts = [t for t, _, _ in LICENSED]
+    rows = ROWS + [(1000 + k, t, "en", "s", len(t)) for k, t in enumerate(texts)]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(path)
+    got = QUERIES[name](spark, str(tmp_path))
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{path}/*.parquet')")
+    want = db.execute(QUERY_SQL[name])
+    columns = [c[0] for c in want.description]
+    assert sorted(columns) == sorted(got.columns)
+    key = lambda r: r[columns.index("doc_id")]
+    assert sorted(map(tuple, got.select(columns).collect()), key=key) == sorted(want.fetchall(), key=key)
+
+
 def test_quality_columns(docs):
     got = by_id(quality_rules.quality_columns(docs))
     for i, t, *_ in ROWS:
@@ -491,7 +569,17 @@ def test_quality_columns(docs):
         assert r.n_symbols == sum(c in "#*$%&|<>" for c in t)
         assert r.base_failed == (len(w) < 50 or 100 * len(covered) > 50 * len(w)) and not (r.base_failed and r.kept)
     kept = quality_rules.quality_filter(docs)
-    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if r.kept}
+    assert kept.columns == docs.columns and {r.doc_id: (r.text, r.n_chars) for r in kept.collect()} == {i: (r.clean_text, len(r.clean_text)) for i, r in got.items() if r.kept}
+
+
+def test_failing_lines_go_and_others_stay_as_they_are(spark):
+    good = "\n".join(" ".join(f"{w}{k}" for k in range(9)) + "." for w in "abcdefgh") + "\n \n\n"
+    texts = [good, "Home | About | Contact\n" + good + "click here to read on\nEnd of it.", good.replace("\n", "\r\n")]
+    rows = [(k, t, 7) for k, t in enumerate(texts)]
+    out = quality_rules.quality_filter(spark.createDataFrame(rows, "doc_id long, text string, n_chars int"))
+    want = [good, good + "End of it.", texts[2]]
+    assert out.dtypes == [("doc_id", "bigint"), ("text", "string"), ("n_chars", "int")]
+    assert sorted(map(tuple, out.collect())) == [(k, t, len(t)) for k, t in enumerate(want)]
 
 
 def test_final_punctuation_before_long_line_ends(spark):
@@ -504,22 +592,30 @@ def test_final_punctuation_before_long_line_ends(spark):
     "run",
     [
         ngram_join.near_duplicates,
+        ngram_join.one_of_each,
         fingerprints.fingerprints,
+        fingerprints.near_duplicates,
         lm_scoring.train_and_score,
+        line_dedup.dedup_digests,
         line_dedup.dedup_lines,
         mixing.mix,
+        mixing.mixed_documents,
         license_scan.license_columns,
         suffix_dedup.removal_digests,
+        suffix_dedup.remove_repeats,
         lambda d: packing.packed_documents(d, tokenizer_path()),
         quality_rules.quality_columns,
+        quality_rules.quality_filter,
         substring_dedup.removal_digests,
+        substring_dedup.remove_repeats,
     ],
 )
 def test_empty_tables(empty, run):
     assert run(empty).count() == 0
 
 
-ODD = [(None, None), (None, "a b c d e f"), (1, "same words here again and again"), (1, "same words here again and again"), (1, "other words for the same number"), (2, ""), (3, "y" * 300_000), (4, "long text " * 30_000)]
+ODD = [(None, None), (None, "a b c d e f"), (1, "same words here again and again"), (1, "same words here again and again"), (1, "other words for the same number"), (2, ""), (3, "y" * 300_000), (4, "long text " * 30_000), (5, "One line\nOne line\n" + "A line of prose that stands alone. " * 20)]
+NAMES = ("kept", "n_words", "rest", "th", "kind", "size", "bucket", "times", "unit", "row", "key", "first", "rep", "label", "e", "p", "x", "due", "class", "marks", "National-ID", "a.b", "clean_text", "license", "target", "piece", "copy", "starts")
 
 
 @pytest.mark.parametrize(
@@ -528,19 +624,37 @@ ODD = [(None, None), (None, "a b c d e f"), (1, "same words here again and again
         ngram_join.near_duplicates,
         ngram_join.one_of_each,
         fingerprints.fingerprints,
+        fingerprints.near_duplicates,
         lm_scoring.train_and_score,
         line_dedup.dedup_digests,
+        line_dedup.dedup_lines,
         mixing.mix,
         mixing.mixed_documents,
         license_scan.license_columns,
         suffix_dedup.removal_digests,
+        suffix_dedup.remove_repeats,
         lambda d: packing.packed_documents(d, tokenizer_path()),
         quality_rules.quality_columns,
         quality_rules.quality_filter,
         substring_dedup.removal_digests,
+        substring_dedup.remove_repeats,
     ],
 )
 def test_nulls_repeats_long_texts_and_clashing_columns(spark, run):
-    odd = spark.createDataFrame(ODD, "doc_id long, text string").withColumns({"source": F.lit(None).cast("string"), "kept": F.lit("x"), "n_words": F.lit("y"), "rest": F.lit(1), "th": F.lit(2), "kind": F.lit(3), "size": F.lit(4), "bucket": F.lit(5)})
-    rows = run(odd).collect()
-    assert len(rows) >= len(ODD) - 1 or run in (ngram_join.one_of_each, mixing.mixed_documents, quality_rules.quality_filter)
+    plain = spark.createDataFrame(ODD, "doc_id long, text string").withColumn("source", F.lit(None).cast("string")).coalesce(1)
+    odd = plain.withColumns({c: F.lit(k) for k, c in enumerate(NAMES)})
+    want, got = run(plain), run(odd)
+    columns = [f"`{c}`" for c in want.columns if c != "copy"]
+    rows = lambda df: sorted(map(repr, df.select(columns).collect()))
+    assert rows(want) == rows(got)
+    extra = [f"`{c}`" for c in got.columns if c not in want.columns]
+    if extra:
+        assert {tuple(r) for r in got.select(extra).collect()} <= {tuple(k for k, c in enumerate(NAMES) if f"`{c}`" in extra)}
+    if run not in (ngram_join.one_of_each, mixing.mixed_documents, quality_rules.quality_filter):
+        assert len(rows(got)) >= len(ODD) - 1
+
+
+def test_one_row_of_repeated_documents_stays(spark):
+    out = ngram_join.one_of_each(spark.createDataFrame(ODD, "doc_id long, text string"))
+    got = sorted((r.doc_id or -1, (r.text or "")[:20]) for r in out.collect())
+    assert got == [(-1, ""), (-1, "a b c d e f"), (1, "other words for the "), (1, "same words here agai"), (2, ""), (3, "y" * 20), (4, "long text long text "), (5, "One line\nOne line\nA ")]
