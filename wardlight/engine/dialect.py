@@ -20,9 +20,13 @@ def to_char_patterns(sql: str) -> str:
     return _to_char.sub(change, sql)
 
 
+_quoted = re.compile(r"('(?:[^']|'')*'|--[^\n]*|/\*.*?\*/)", re.S)
+
+
 def flat_names(sql: str) -> str:
-    """catalog.schema.table after FROM or JOIN becomes the view catalog_schema_table of the session catalog."""
-    return _table.sub(lambda m: m[1] + "_".join(m.group(2, 3, 4)).lower(), sql)
+    """catalog.schema.table after FROM or JOIN becomes the view catalog_schema_table of the session catalog; literals and comments stay."""
+    change = lambda part: _table.sub(lambda m: m[1] + "_".join(m.group(2, 3, 4)).lower(), part)
+    return "".join(part if i % 2 else change(part) for i, part in enumerate(_quoted.split(sql)))
 
 
 def translate(sql: str) -> str:

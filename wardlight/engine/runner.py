@@ -40,3 +40,15 @@ def run_sql(spark: SparkSession, sql: str, limit: int | None = None) -> Result:
     rows = [r.asDict(recursive=True) for r in df.collect()]
     columns = [{"key": f.name, "label": f.name, "type": f.dataType.simpleString()} for f in df.schema]
     return Result(columns, rows, len(rows))
+
+
+def pages(df: DataFrame, size: int = 1000):
+    """The rows in lists of `size`; the driver holds one partition at a time."""
+    page = []
+    for row in df.toLocalIterator():
+        page.append(row.asDict(recursive=True))
+        if len(page) == size:
+            yield page
+            page = []
+    if page:
+        yield page

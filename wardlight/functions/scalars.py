@@ -73,6 +73,19 @@ def mention_prefix(text: Column) -> Column:
     return F.when(text.rlike("@[A-Za-z0-9_]*$"), F.regexp_extract(text, "@([A-Za-z0-9_]*)$", 1))
 
 
+def mention_parts(text: Column) -> Column:
+    """The text cut at its mentions, which stay as parts of their own; parts between two mentions may be empty."""
+    return F.split(F.regexp_replace(text, "(?i)(@[a-z0-9_]+)", "\u0001$1\u0001"), "\u0001", -1)
+
+
+def mention_candidate(username: Column, display: Column, typed: Column) -> Column:
+    return F.contains(username, typed) | F.contains(F.lower(display), typed)
+
+
+def clipped(text: Column, most: int = 300) -> Column:
+    return F.left(text, F.lit(most))
+
+
 def expand_abbreviations(text: Column) -> Column:
     out = F.lower(text)
     for short, long in ABBREVIATIONS.items():
@@ -111,6 +124,20 @@ def relative_time(then: Column, now: Column) -> Column:
     return F.when(minutes < 1, "just now").when(minutes < 60, plural(minutes, "minute")).when(hours < 24, plural(hours, "hour")).otherwise(plural(days, "day"))
 
 
+def short_age(then: Column, now: Column) -> Column:
+    """`5m ago`, `3h ago`, `2d ago`; never fired alerts have no time."""
+    minutes = F.floor((F.unix_micros(now) - F.unix_micros(then)) / 60_000_000)
+    count = F.when(minutes < 60, F.concat(minutes.cast("string"), F.lit("m"))).when(minutes < 1440, F.concat(F.floor(minutes / 60).cast("string"), F.lit("h")))
+    return F.when(then.isNull(), "Never").otherwise(F.concat(count.otherwise(F.concat(F.floor(minutes / 1440).cast("string"), F.lit("d"))), F.lit(" ago")))
+
+
+def due_in(then: Column, now: Column) -> Column:
+    """`in 5m`, `in 3h`, `in 2d`, or Overdue."""
+    minutes = F.floor((F.unix_micros(then) - F.unix_micros(now)) / 60_000_000)
+    count = F.when(minutes < 60, F.concat(minutes.cast("string"), F.lit("m"))).when(minutes < 1440, F.concat(F.floor(minutes / 60).cast("string"), F.lit("h")))
+    return F.when(then < now, "Overdue").otherwise(F.concat(F.lit("in "), count.otherwise(F.concat(F.floor(minutes / 1440).cast("string"), F.lit("d")))))
+
+
 def next_delivery(frequency: Column, hour: Column, minute: Column, now: Column) -> Column:
     """Next run of a Daily, Weekly (Monday) or Monthly (first day) schedule strictly after now."""
     at = lambda day: F.make_timestamp(F.year(day), F.month(day), F.dayofmonth(day), hour, minute, F.lit(0))
@@ -138,6 +165,10 @@ def money(cents: Column) -> Column:
     return F.concat(F.lit("$"), F.format_number(cents / 100, 2))
 
 
+def annual_saving(monthly: Column, annual: Column) -> Column:
+    return monthly * 12 - annual
+
+
 def elapsed(millis: Column) -> Column:
     return F.format_string("00:00:%02d.%02d", F.floor(millis / 1000), F.floor(millis % 1000 / 10))
 

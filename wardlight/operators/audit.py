@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import json
-import uuid
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 GENESIS = "0" * 64
@@ -27,11 +27,11 @@ def chain(events: list[dict], previous_line: str | None = None) -> list[str]:
     return lines
 
 
-def chained(events: DataFrame, position: str = "id") -> DataFrame:
-    """(pos, line): the chained log of all events in order. One task is the one writer; it holds a batch at a time."""
+def chained(events: DataFrame, position: str = "id", start: int = 0, line: str | None = None) -> DataFrame:
+    """(pos, line): the chained log of all events in order, after an earlier line. One task is the one writer; it holds a batch at a time."""
 
     def run(batches):
-        pos, last = 0, None
+        pos, last = start, line
         for batch in batches:
             lines = chain(batch.to_pylist(), last)
             if lines:
@@ -41,15 +41,37 @@ def chained(events: DataFrame, position: str = "id") -> DataFrame:
     return events.repartition(1).sortWithinPartitions(position).mapInArrow(run, "pos long, line string")
 
 
-def stored(log: DataFrame) -> DataFrame:
-    """log as a table in the shared folder; without that setting it stays as it is, and each reader folds it anew."""
-    spark = log.sparkSession
-    top = spark.conf.get("spark.checkpoint.dir", None)
-    if not top:
-        return log
-    path = f"{top.rstrip('/')}/wardlight-audit-{uuid.uuid4().hex}"
-    log.write.parquet(path)
-    return spark.read.schema(log.schema).parquet(path)
+def append(spark: SparkSession, path: str, events: DataFrame, position: str = "id") -> None:
+    """Chains events to the log table (pos, line) at path and adds them. One writer at a time."""
+    log = read_log(spark, path)
+    last = log.orderBy(F.col("pos").desc()).limit(1).collect()
+    start, line = (last[0].pos + 1, last[0].line) if last else (0, None)
+    chained(events, position, start, line).write.mode("append").parquet(path)
+
+
+def read_log(spark: SparkSession, path: str) -> DataFrame:
+    """(pos, line) of the log table at path; a missing one is empty."""
+    try:
+        return spark.read.schema("pos long, line string").parquet(path)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" in str(e):
+            return spark.createDataFrame([], "pos long, line string")
+        raise
+
+
+def anomaly_records(flagged: DataFrame) -> DataFrame:
+    """(timestamp, eventId, userId, flags) of the events that have flags."""
+    return flagged.filter(F.size("flags") > 0).select(F.col("ts").cast("string").alias("timestamp"), F.col("seq").alias("eventId"), F.col("user_id").alias("userId"), "flags")
+
+
+def append_anomalies(flagged: DataFrame, path: str) -> None:
+    anomaly_records(flagged).write.mode("append").json(path)
+
+
+def with_feedback(log: DataFrame, flagged: DataFrame) -> DataFrame:
+    """The log in which each flagged event is followed by the QUERY_RUN that reports it, as (seq, reports, user_id, ts, action), in the order of seq and reports."""
+    plain = log.select("seq", F.lit(False).alias("reports"), "user_id", "ts", "action")
+    return plain.unionByName(flagged.filter(F.size("flags") > 0).select("seq", F.lit(True).alias("reports"), "user_id", "ts", F.lit("QUERY_RUN").alias("action")))
 
 
 def verify(lines: DataFrame, position: str = "pos", line: str = "line", segment: int = 10_000) -> DataFrame:

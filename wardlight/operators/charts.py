@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -86,3 +86,58 @@ def evaluate_alerts(rules: DataFrame, metrics: DataFrame) -> DataFrame:
     """Active rules (name, metric, op, value, status) met by metrics (metric, at, reading); rules are few by nature."""
     met = metrics.join(F.broadcast(rules.filter("status = 'Active'")), "metric")
     return met.filter(alert_fires(F.col("reading"), F.col("op"), F.col("value")))
+
+
+def axes(columns: list[str], x: str | None = None, y: str | None = None) -> tuple[str, str]:
+    """The columns of the axes: those named, else the first and the second."""
+    return x or columns[0], y or columns[min(1, len(columns) - 1)]
+
+
+def of_category(items: DataFrame, category: str = "All") -> DataFrame:
+    return items if category == "All" else items.filter(F.col("category") == category)
+
+
+def of_dashboard(widgets: dict[str, DataFrame], filters: list[Filter]) -> dict[str, DataFrame]:
+    """Every widget's data under the dashboard's filters, as far as it has their columns; filters without a value don't count."""
+    out = {}
+    for name, data in widgets.items():
+        for f in filters:
+            if f.value is not None and f.column in data.columns:
+                data = data.filter(f.condition())
+        out[name] = data
+    return out
+
+
+def clinical_readings(acceptances: DataFrame) -> DataFrame:
+    """(at, metric, reading) by day of admission. An admission is one Id; status P counts as ventilated, F as a mortality flag.
+
+    A readmission begins within 30 days of the same patient's previous admission.
+    """
+    visits = acceptances.groupBy("Id", "PatientId", "AcceptanceDate", "Status").agg(F.sum("LengthOfStay").alias("days"), F.count("*").alias("stays"))
+    before = F.lag("AcceptanceDate").over(Window.partitionBy("PatientId").orderBy("AcceptanceDate", "Id"))
+    visits = visits.withColumn("again", F.coalesce(F.datediff("AcceptanceDate", before) <= 30, F.lit(False)))
+    n = F.count("*").cast("double")
+    daily = visits.groupBy(F.col("AcceptanceDate").alias("at")).agg(
+        n.alias("Daily Admissions"),
+        (F.count_if("again") / n).alias("Readmission Rate"),
+        F.count_if(F.col("Status") == "P").cast("double").alias("Ventilator Count"),
+        F.count_if(F.col("Status") == "F").cast("double").alias("Mortality Flag Count"),
+        (F.sum("days") / F.sum("stays")).alias("Average LOS (days)"),
+    )
+    return daily.unpivot("at", [c for c in daily.columns if c != "at"], "metric", "reading")
+
+
+def occupancy(units: DataFrame, acceptances: DataFrame, day: str) -> DataFrame:
+    """(unit, reading): stays open on that day per hundred beds, units without any included."""
+    on = F.lit(day).cast("date")
+    used = acceptances.filter((F.col("AcceptanceDate") <= on) & (F.col("DischargeDate") > on)).groupBy("UnitId").agg(F.count("*").alias("used"))
+    met = units.join(used, F.col("Id") == F.col("UnitId"), "left")
+    return met.select(F.col("Id").alias("unit"), (100.0 * F.coalesce("used", F.lit(0)) / F.col("Capacity")).alias("reading"))
+
+
+def waiting_minutes(events: DataFrame, who: str, at: str, served: Column) -> DataFrame:
+    """(at, reading): average minutes from a person's first event of the day to the first at which they are served."""
+    day = events.groupBy(who, F.to_date(at).alias("at")).agg(F.min(at).alias("arrived"), F.min(F.when(served, F.col(at))).alias("served"))
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    waited = day.filter("served is not null").withColumn("us", micros("served") - micros("arrived"))
+    return waited.groupBy("at").agg((F.sum("us").cast("double") / F.count("*") / 60_000_000).alias("reading"))

@@ -64,3 +64,13 @@ ROLES = {
 def permitted(role: Column, permission: Column) -> Column:
     table = F.create_map(*[x for r, ps in ROLES.items() for x in (F.lit(r), F.array(*map(F.lit, ps)))])
     return F.coalesce(F.array_contains(F.try_element_at(table, role), permission), F.lit(False))
+
+
+def in_catalog(catalog: Column, wanted: Column) -> Column:
+    """Whether a table of that catalog is offered: it has none, is asked for, or both catalogs are."""
+    return F.coalesce((wanted == "both") | catalog.isNull() | (catalog == wanted), F.lit(False))
+
+
+def catalog_choice(telehealth: Column, eclinics: Column) -> Column:
+    """The catalog with the higher score; ties go to eclinics."""
+    return F.when(telehealth > eclinics, "telehealth").otherwise("eclinics")

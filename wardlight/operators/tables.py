@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wardlight.engine.session import shared_folder, stored
+
 # Days that each store keeps its records.
 RETENTION_DAYS = {"charts": 90, "dashboards": 90, "comments": 180, "notifications": 30, "alerts": 365, "reports": 365}
 
@@ -16,15 +18,90 @@ def local_first(local: DataFrame, remote: DataFrame, key: str) -> DataFrame:
     return local.unionByName(remote.join(local.select(key), key, "left_anti"), allowMissingColumns=True)
 
 
-def upsert(stored: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """New rows replace stored ones of the same key or are added."""
-    return local_first(new, stored, key)
+def numbered(df: DataFrame, order: list, name: str = "n") -> DataFrame:
+    """df with row numbers from 0 in that order, without a task for all rows: a row's number is that in its part of the sorted table, after all earlier parts.
+
+    The sorted table must stand still between counting and numbering; without a shared folder for it, one window numbers all rows.
+    """
+    if not shared_folder(df.sparkSession):
+        return df.withColumn(name, (F.row_number().over(Window.orderBy(*order)) - 1).cast("long"))
+    rows = stored(df.orderBy(*order).withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    part, begins, after = F.shiftright("__row", 33), [], 0
+    for p, n in sorted(tuple(r) for r in rows.groupBy(part).agg(F.count("*")).collect()):  # a row for each part
+        begins += [F.lit(p), F.lit(after)]
+        after += n
+    first = F.element_at(F.create_map(*begins), part) if begins else F.lit(0)
+    return rows.withColumn(name, (first + F.col("__row").bitwiseAND((1 << 33) - 1)).cast("long")).drop("__row")
+
+
+def in_order(first: DataFrame, second: DataFrame, key: str, order: str = "position") -> DataFrame:
+    """Rows of both (with a position) and only the first's where keys are equal: all of the first in their order, then what is new in the second."""
+    rest = second.join(first.select(key), key, "left_anti")
+    both = first.withColumn("source", F.lit(0)).unionByName(rest.withColumn("source", F.lit(1)), allowMissingColumns=True)
+    return numbered(both, ["source", order, key], "__at").withColumn(order, F.col("__at")).drop("__at", "source")
+
+
+def upsert_in_place(old: DataFrame, new: DataFrame, key: str, order: str = "position", prepend: bool = True) -> DataFrame:
+    """New rows take the place of stored ones of the same key; others come before all stored rows, or after them."""
+    places = old.select(key, F.col(order).alias("__old"))
+    known = new.drop(order).join(places, key, "left")
+    added = F.lit(-1 if prepend else 1)
+    kept = old.join(new.select(key), key, "left_anti").withColumns({"__side": F.lit(0), "__old": F.col(order)}).drop(order)
+    rows = known.withColumn("__side", F.when(F.col("__old").isNull(), added).otherwise(0)).unionByName(kept, allowMissingColumns=True)
+    return numbered(rows, ["__side", "__old", key], order).drop("__side", "__old")
+
+
+def lookup(df: DataFrame, key: str, value, order: list) -> DataFrame:
+    """The first row with that key, or none."""
+    return df.filter(F.col(key) == value).orderBy(*order).limit(1)
+
+
+def sample_rows(df: DataFrame, order: list, most: int = 15) -> DataFrame:
+    return df.orderBy(*order).limit(most)
+
+
+def sorted_by(df: DataFrame, column: str, descending: bool, key: str) -> DataFrame:
+    """A list sorted by one of its headers; equal values by key."""
+    return df.orderBy(F.col(column).desc_nulls_last() if descending else F.col(column).asc_nulls_first(), key)
+
+
+def as_of(left: DataFrame, right: DataFrame, key: str, at: str, value: str, name: str = "latest") -> DataFrame:
+    """left with the value of the key's last right row at or before its time (of equal times the greatest value), null without one.
+
+    Both sides are dealt by key once and walked in order; no pair of rows is formed. A hot key's
+    rows are one window, which spills but is not split.
+    """
+    a = left.withColumns({"__side": F.lit(1), "__value": F.lit(None).cast(right.schema[value].dataType)})
+    b = right.select(key, F.col(at), F.col(value).alias("__value")).withColumn("__side", F.lit(0))
+    both = a.unionByName(b, allowMissingColumns=True)
+    before = Window.partitionBy(key).orderBy(at, "__side", "__value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return both.withColumn(name, F.last("__value", ignorenulls=True).over(before)).filter("__side = 1").select(*left.columns, name)
+
+
+def alert_errors(name: Column, value: Column, channels: Column) -> Column:
+    """What an alert form lacks."""
+    number = F.trim(value).try_cast("double").isNotNull()
+    return _missing({"name": F.trim(name) == "", "value": ~F.coalesce(number, F.lit(False)), "channels": F.size(channels) == 0})
+
+
+def report_errors(name: Column, dashboards: Column, deliveries: Column, email: Column) -> Column:
+    """What a report form lacks."""
+    return _missing({"name": F.trim(name) == "", "dashboards": F.size(dashboards) == 0, "deliveries": F.size(deliveries) == 0, "email": F.array_contains(deliveries, "Email") & (F.trim(email) == "")})
+
+
+def _missing(rules: dict[str, Column]) -> Column:
+    return F.array_compact(F.array(*[F.when(F.coalesce(bad, F.lit(True)), field) for field, bad in rules.items()]))
+
+
+def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """New rows replace old ones of the same key or are added."""
+    return local_first(new, old, key)
 
 
-def merge_fields(stored: DataFrame, patch: DataFrame, key: str) -> DataFrame:
+def merge_fields(old: DataFrame, patch: DataFrame, key: str) -> DataFrame:
     """Field by field: a non-null value of the patch wins; keys only in the patch are added."""
-    s, p = stored.alias("s"), patch.alias("p")
-    columns = [F.coalesce(f"p.{c}", f"s.{c}").alias(c) if c in patch.columns else F.col(f"s.{c}") for c in stored.columns]
+    s, p = old.alias("s"), patch.alias("p")
+    columns = [F.coalesce(f"p.{c}", f"s.{c}").alias(c) if c in patch.columns else F.col(f"s.{c}") for c in old.columns]
     return s.join(p, F.col(f"s.{key}") == F.col(f"p.{key}"), "full").select(columns)
 
 

@@ -6,6 +6,7 @@ import io
 import zipfile
 from xml.sax.saxutils import escape
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,9 +54,13 @@ def quoted(column: Column) -> Column:
     return F.concat(F.lit('"'), F.replace(column.cast("string"), F.lit('"'), F.lit('""')), F.lit('"'))
 
 
+def csv_line(columns: list[str], null_as: str = '""') -> Column:
+    return F.concat_ws(",", *[F.coalesce(quoted(F.col(c)), F.lit(null_as)) for c in columns])
+
+
 def csv_lines(df: DataFrame, null_as: str = '""') -> DataFrame:
     """(line) of each row: every value quoted, nulls as given."""
-    return df.select(F.concat_ws(",", *[F.coalesce(quoted(F.col(c)), F.lit(null_as)) for c in df.columns]).alias("line"))
+    return df.select(csv_line(df.columns, null_as).alias("line"))
 
 
 def csv_text(df: DataFrame, limit: int = 10_000) -> str:
@@ -68,16 +73,65 @@ def write_csv(df: DataFrame, path: str) -> None:
     plain.write.mode("overwrite").option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
 
 
+#: The ten columns of an exported audit log.
+AUDIT_COLUMNS = ("timestamp", "userId", "userEmail", "action", "resourceType", "detail", "rowsAffected", "ipAddress", "sessionId", "severity")
+
+
+def audit_csv_text(events: DataFrame, limit: int = 500) -> str:
+    """The newest events as CSV: plain header, nulls empty, other values quoted."""
+    lines = csv_lines(events.select(*AUDIT_COLUMNS).limit(limit), null_as="").collect()
+    return "\n".join([",".join(AUDIT_COLUMNS), *(r.line for r in lines)])
+
+
+def read_table(spark: SparkSession, path: str, kind: str = "parquet", schema: str | None = None) -> DataFrame:
+    """A Parquet, ORC, CSV (with a header) or JSON table; CSV and JSON need their schema, so that no pass is spent on guessing it."""
+    if kind not in ("parquet", "orc", "csv", "json"):
+        raise ValueError(f"unknown kind of table: {kind}")
+    if kind in ("csv", "json") and not schema:
+        raise ValueError(f"{kind} needs a schema")
+    reader = spark.read.schema(schema) if schema else spark.read
+    return (reader.option("header", True).option("escape", '"') if kind == "csv" else reader).format(kind).load(path)
+
+
+def seeded(spark: SparkSession, path: str, schema: str, rows: list[tuple]) -> DataFrame:
+    """A stored table, or the seed rows where it was never written; an empty table stays empty."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" in str(e):
+            return spark.createDataFrame(rows, schema)
+        raise
+
+
+def billing_line(at: Column, level: Column, event: Column, data: Column | None = None) -> Column:
+    """A line of the billing log; data as JSON."""
+    stamp = F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    parts = [F.lit("["), stamp, F.lit("] ["), level, F.lit("] "), event]
+    return F.concat(*parts) if data is None else F.concat(*parts, F.lit(" "), F.to_json(data))
+
+
+def append_lines(lines: DataFrame, path: str) -> None:
+    lines.write.mode("append").text(path)
+
+
 def replace_table(df: DataFrame, path: str) -> None:
-    """Overwrites a Parquet table through a new folder, so that df may read the old one."""
+    """Overwrites a Parquet table; df may read the old one. What fails in between leaves the old table at path or at path.old."""
     spark = df.sparkSession
     hadoop = spark._jvm.org.apache.hadoop.fs
-    new = hadoop.Path(path + ".new")
-    old = hadoop.Path(path)
+    new, old, now = (hadoop.Path(p) for p in (path + ".new", path + ".old", path))
+    system = now.getFileSystem(spark._jsc.hadoopConfiguration())
+    if system.exists(old):
+        if system.exists(now):
+            system.delete(old, True)
+        elif not system.rename(old, now):
+            raise OSError(f"can't restore {path}")
     df.write.mode("overwrite").parquet(path + ".new")
-    system = old.getFileSystem(spark._jsc.hadoopConfiguration())
+    if system.exists(now) and not system.rename(now, old):
+        raise OSError(f"can't move {path} away")
+    if not system.rename(new, now):
+        system.rename(old, now)
+        raise OSError(f"can't replace {path}")
     system.delete(old, True)
-    system.rename(new, old)
 
 
 def xlsx_bytes(df: DataFrame, limit: int = 10_000, sheet: str = "Results") -> bytes:

@@ -11,6 +11,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 # Failures that lock, the window they count in, and how long a lock lasts.
 FAILURES, WINDOW_MS, LOCK_MS = 5, 600_000, 900_000
+#: How long the state of a silent user is kept at least.
+IDLE_MS = 3_600_000
 # Hours between two firings of an alert.
 COOLDOWN_HOURS = {"1h": 1, "4h": 4, "24h": 24}
 
@@ -48,10 +50,16 @@ def login_limiter(attempts: DataFrame) -> DataFrame:
 
 
 def rapid_queries(events: DataFrame, seconds: float = 60, most: int = 10) -> DataFrame:
-    """Events (user_id, seq, at_us, action) with more than `most` earlier QUERY_RUNs of the user in the trailing window; exact, by state."""
+    """Events (user_id, seq, at_us, action) with more than `most` earlier QUERY_RUNs of the user in the trailing window; exact, by state.
+
+    The state of a user without events goes after the window's length or IDLE_MS, whichever is longer.
+    """
     width = int(seconds * 1e6)
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState):
+        if state.hasTimedOut:
+            state.remove()
+            return
         recent = list(state.get[0]) if state.exists else []
         rows = pd.concat(list(frames)).sort_values(["at_us", "seq"], kind="stable")
         out = []
@@ -61,9 +69,10 @@ def rapid_queries(events: DataFrame, seconds: float = 60, most: int = 10) -> Dat
             if action == "QUERY_RUN":
                 recent.append(int(at))
         state.update((recent,))
+        state.setTimeoutDuration(max(width // 1000, IDLE_MS))
         yield pd.DataFrame(out, columns=["user_id", "seq", "earlier", "rapid"])
 
-    return events.groupBy("user_id").applyInPandasWithState(step, "user_id long, seq long, earlier long, rapid boolean", "recent array<long>", "append", GroupStateTimeout.NoTimeout)
+    return events.groupBy("user_id").applyInPandasWithState(step, "user_id long, seq long, earlier long, rapid boolean", "recent array<long>", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def cool_down(hits: DataFrame) -> DataFrame:
@@ -92,16 +101,30 @@ def billing_change(event: Column) -> Column:
 
 
 def apply_billing(licenses: DataFrame, events: DataFrame) -> DataFrame:
-    """Licences (customer, status, grace_end) after the newest status change of each customer in a batch of events (customer, type, at, seq).
+    """Licences (customer, status, grace_end, tier, cycle) after a batch of events (customer, type, at, seq, tier, cycle).
 
-    Unknown customers are added by a completed checkout only.
+    Of each customer, the newest status change and the newest tier and cycle that an update names
+    count. Unknown customers are added by a completed checkout only, with its tier and cycle or the
+    smallest tier by month; what other events of theirs came before it does not count.
     """
-    change = events.withColumn("to", billing_change(F.col("type"))).filter("to is not null")
-    last = change.groupBy("customer").agg(F.max_by(F.struct("to", "at"), F.struct("at", "seq")).alias("x"), F.bool_or(F.col("type") == "checkout_completed").alias("new"))
-    met = licenses.join(last, "customer", "full").filter(F.col("status").isNotNull() | F.col("new"))
-    status = F.coalesce("x.to", "status")
-    grace = F.when(F.col("x.to") == "grace", F.col("x.at") + F.expr("interval 7 days")).when(F.col("x").isNull(), F.col("grace_end"))
-    return met.select("customer", status.alias("status"), grace.alias("grace_end"))
+    none = F.lit(None).cast("string")
+    licenses, events = (df.withColumns({c: none for c in ("tier", "cycle") if c not in df.columns}) for df in (licenses, events))
+    kind = F.col("type")
+    known = licenses.select("customer", F.lit(True).alias("known"))
+    rows = events.join(known, "customer", "left").withColumns({"to": billing_change(kind), "order": F.struct("at", "seq")})
+    first = rows.groupBy("customer").agg(F.min(F.when(kind == "checkout_completed", F.col("order"))).alias("opened"))
+    rows = rows.join(first, "customer").filter(F.col("known") | (F.col("order") >= F.col("opened")))
+    opens = F.col("known").isNull() & (F.col("order") == F.col("opened"))
+    named = (kind == "subscription_updated") | opens
+    newest = lambda value, when: F.max_by(value, F.when(when, F.col("order")))
+    last = rows.groupBy("customer").agg(
+        newest(F.struct("to", "at"), F.col("to").isNotNull()).alias("x"),
+        newest(F.when(opens, F.coalesce("tier", F.lit("starter"))).otherwise(F.col("tier")), named & (opens | F.col("tier").isNotNull())).alias("new_tier"),
+        newest(F.when(opens, F.coalesce("cycle", F.lit("monthly"))).otherwise(F.col("cycle")), named & (opens | F.col("cycle").isNotNull())).alias("new_cycle"),
+    )
+    met = licenses.join(last, "customer", "full")
+    grace = F.when(F.col("x.to") == "grace", F.col("x.at") + F.expr("interval 7 days")).when(F.col("x.to").isNull(), F.col("grace_end"))
+    return met.select("customer", F.coalesce("x.to", "status").alias("status"), grace.alias("grace_end"), F.coalesce("new_tier", "tier").alias("tier"), F.coalesce("new_cycle", "cycle").alias("cycle"))
 
 
 def keep_licenses(events: DataFrame, read: Callable[[], DataFrame], write: Callable[[DataFrame], None], checkpoint: str):
@@ -112,3 +135,8 @@ def keep_licenses(events: DataFrame, read: Callable[[], DataFrame], write: Calla
 def windowed_counts(events: DataFrame, width: str = "10 minutes", late: str = "10 minutes") -> DataFrame:
     """Events by action and tumbling window, with a watermark for late rows."""
     return events.withWatermark("ts", late).groupBy(F.window("ts", width), "action").count()
+
+
+def first_of_each(events: DataFrame, key: str = "event_id", late: str = "10 minutes") -> DataFrame:
+    """Events without those whose key came before, as far as the watermark looks back."""
+    return events.withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
