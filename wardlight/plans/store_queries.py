@@ -306,8 +306,11 @@ ORACLE["P7"] = (
     f"WITH x AS (SELECT c_custkey, list_reduce({_codes.format(0, 'c_name')}, lambda h, v: v - h + ({_signed.format('((h * 32) & 4294967295)')})) AS h FROM customer) "
     f"SELECT c_custkey, [{', '.join(repr(x) for x in s.PALETTE)}][CAST(abs(h) % 8 + 1 AS INTEGER)] AS color FROM x"
 )
+# Lines are chained 64 at a time: a step of the recursion sees one part of the log.
+_previous = "CASE WHEN done[-1] IS NULL THEN repeat('0', 64) ELSE sha256(done[-1]) END"
+_line = f"""body[1] || {_previous} || '","hash":"' || sha256({_previous} || body[1] || {_previous} || '"}}') || '"}}'"""
 ORACLE["H1"] = f"""WITH RECURSIVE {LOGICAL_SQL['audit']}, b AS (SELECT row_number() OVER (ORDER BY seq) - 1 AS pos, '{{"id":' || CAST(seq AS VARCHAR) || ',"timestamp":"' || regexp_replace(strftime(ts, '%Y-%m-%d %H:%M:%S.%f'), '\\.?0+$', '') || '","action":"' || action || '","rowsAffected":' || CAST(rows_affected AS VARCHAR) || ',"previousHash":"' AS body FROM audit),
-    g AS (SELECT list(body ORDER BY pos) AS bodies, count(*) AS n FROM b),
-    r(pos, line) AS (SELECT CAST(-1 AS BIGINT), CAST(NULL AS VARCHAR) UNION ALL
-      SELECT pos + 1, head || previous || '","hash":"' || sha256(previous || head || previous || '"}}') || '"}}' FROM (SELECT pos, bodies[pos + 2] AS head, CASE WHEN line IS NULL THEN repeat('0', 64) ELSE sha256(line) END AS previous FROM r, g WHERE pos + 1 < n))
-    SELECT pos, line FROM r WHERE pos >= 0"""
+    c AS (SELECT pos // 64 AS part, list([body] ORDER BY pos) AS bodies FROM b GROUP BY 1),
+    r(part, lines) AS (SELECT CAST(-1 AS BIGINT), [CAST(NULL AS VARCHAR)] UNION ALL
+      SELECT c.part, list_reduce(list_prepend([lines[-1]], bodies), lambda done, body: list_append(done, {_line}))[2:] FROM r JOIN c ON c.part = r.part + 1)
+    SELECT CAST(part * 64 + i AS BIGINT) AS pos, line FROM (SELECT part, unnest(lines) AS line, unnest(range(len(lines))) AS i FROM r WHERE part >= 0)"""
