@@ -34,14 +34,18 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+#: The temporary folders of local sessions, by application.
+_local_folders: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new folder that driver and executors see; only local sessions without the setting get a temporary one."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        top = tempfile.mkdtemp(prefix="wardlight-")
-        spark.conf.set("spark.checkpoint.dir", top)
+        top = _local_folders.get(spark.sparkContext.applicationId) or tempfile.mkdtemp(prefix="wardlight-")
+        _local_folders[spark.sparkContext.applicationId] = top
     return f"{top.rstrip('/')}/wardlight-{uuid.uuid4().hex}"
 
 
