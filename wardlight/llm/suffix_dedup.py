@@ -71,7 +71,8 @@ def anchor_runs(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
     last = np.append(new[1:], len(at)) - 1
     start, end, anchor = at[new], at[last] + 1, anchor[new]
     content = mix(range_hashes(sums, start, end + length - 1) + (anchor - start).astype(U64))
-    return start, end, anchor - start, grams[anchor], content
+    # Anchors are least hashes: mixed, they spread over all buckets.
+    return start, end, anchor - start, mix(grams[anchor]), content
 
 
 def _parts(rows: list[tuple], length: int):
