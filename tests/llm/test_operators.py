@@ -511,6 +511,32 @@ def test_packing(docs):
     assert len(bins) >= packing.lower_bound(np.array([r.length for r in rows]), 64)
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_packing_in_many_partitions_ends_near_the_bound(spark, monkeypatch, seed):
+    monkeypatch.setattr(packing, "PARTITION", 200)
+    draw = random.Random(seed)
+    sizes = [draw.choice([draw.randint(1, 1024), draw.randint(300, 520)]) for _ in range(5000)]
+    rows = spark.createDataFrame([(k, k, 0, 0, n, 0) for k, n in enumerate(sizes)], "doc_id long, copy long, piece int, start long, length long, ids_crc32 long")
+    bins = {}
+    got = packing.pack(rows).collect()
+    assert sorted((r.doc_id, r.length) for r in got) == list(enumerate(sizes))
+    for r in got:
+        bins.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for pieces in bins.values():
+        pieces.sort()
+        assert [a for a, _ in pieces] == list(np.cumsum([0] + [n for _, n in pieces])[:-1]) and sum(n for _, n in pieces) <= 1024
+    # 25 partitions of their own would leave a bin open in each.
+    whole = len(packing.best_fit_decreasing(np.array(sizes), 1024)[2])
+    assert packing.lower_bound(np.array(sizes), 1024) <= len(bins) <= whole + 8
+
+
+def test_bins_given_back():
+    back = lambda left, gap: packing.given_back(np.array(left), gap, 10).tolist()
+    assert back([0, 3, 6], 0) == [False, False, True] and back([0, 3, 5], 0) == [False] * 3
+    assert back([0, 1, 2, 3], 1) == [False, True, True, True]
+    assert back([9] * 5 + [1] * 4, 1) == [True] * 5 + [False] * 4
+
+
 def test_lower_bound_counts_large_items():
     assert packing.lower_bound(np.array([600] * 7), 1024) == 7
     assert packing.lower_bound(np.array([512] * 7), 1024) == 4

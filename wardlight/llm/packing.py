@@ -2,8 +2,10 @@
 
 Documents are tokenised once, cut only when longer than a sequence, and packed by best-fit
 decreasing within hash partitions. A dual-feasible-function lower bound tells whether a
-partition could use fewer bins; certified partitions are final, the others keep their full bins,
-and the documents of their open bins are dealt anew into fewer partitions and packed again.
+partition could use fewer bins. A certified partition is final but for a bin less than half full;
+of the others, the emptiest bins, whose room would hold twice what the bound saves, give their
+documents back. What is given back is dealt anew into fewer partitions and packed again, until one
+partition is left.
 
 Null texts are empty documents: the end token alone. Rows that repeat a doc_id are packed one
 by one (pieces are told apart by a number). An empty table gives an empty result.
@@ -29,9 +31,8 @@ LENGTH = 1024
 END_ID = 2
 #: Words whose ids a worker remembers; when full, the memory starts anew.
 REMEMBERED = 400_000
-#: Pieces that a first-round partition holds on average, and rounds at most.
+#: Pieces that a partition holds on average.
 PARTITION = 20_000
-ROUNDS = 4
 
 # Where a single blank between two other characters can part a text without changing its tokens.
 _between = re.compile(r"(?<=\S) (?=\S)")
@@ -167,6 +168,17 @@ def lower_bound(lengths: np.ndarray, capacity: int) -> int:
 _PACKED = "doc_id long, copy long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, final boolean, gap int"
 
 
+def given_back(left: np.ndarray, gap: int, capacity: int) -> np.ndarray:
+    """Which bins, by what they have left, are packed again; gap: bins beyond the lower bound."""
+    if gap <= 0:
+        return left > capacity // 2
+    order = np.argsort(-left, kind="stable")
+    room = np.cumsum(left[order])
+    out = np.zeros(len(left), bool)
+    out[order[: int(np.searchsorted(room, 2 * (gap + 1) * capacity)) + 1]] = True
+    return out & (left > 0)
+
+
 def _filler(length: int, turn: int, last: bool):
     """Packs one partition; marks as final what need not be packed again."""
 
@@ -176,9 +188,9 @@ def _filler(length: int, turn: int, last: bool):
         lengths = table["length"].to_numpy().astype(np.int64)
         bins, offsets, left = best_fit_decreasing(lengths, length)
         gap = len(left) - lower_bound(lengths, length)
-        final = np.ones(len(bins), bool) if last or gap <= 0 else np.asarray(left)[bins] == 0
+        final = np.ones(len(bins), bool) if last else ~given_back(np.asarray(left), gap, length)[bins]
         part = int(table["part"][0].as_py())
-        ids = ((np.int64(turn) << 60) | (np.int64(part) << 36)) + bins
+        ids = ((np.int64(turn) << 56) | (np.int64(part) << 32)) + bins
         table = table.drop_columns(["part"])
         for name, values in (("sequence_id", ids), ("offset", offsets), ("final", final), ("gap", np.full(len(bins), gap, np.int32))):
             table = table.append_column(name, pa.array(values))
@@ -189,23 +201,17 @@ def _filler(length: int, turn: int, last: bool):
 
 def pack(rows: DataFrame, length: int = LENGTH) -> DataFrame:
     """rows of pieces() with sequence_id and offset."""
-    spark = rows.sparkSession
-    state, done, tag = materialize(rows), [], 0
-    n = state.count()
-    parts = max(1, -(-n // PARTITION))
-    for turn in range(ROUNDS):
-        last = turn == ROUNDS - 1 or parts == 1
-
+    state, done, turn = materialize(rows), [], 0
+    parts = max(1, -(-state.count() // PARTITION))
+    while True:
         dealt = state.withColumn("part", F.pmod(F.xxhash64("copy", "piece", F.lit(turn)), F.lit(parts)).cast("int"))
-        packed = materialize(dealt.groupBy("part").applyInArrow(_filler(length, turn, last), _PACKED))
+        packed = materialize(dealt.groupBy("part").applyInArrow(_filler(length, turn, parts == 1), _PACKED))
         done.append(packed.filter("final"))
-        if last:
-            break
         state = packed.filter("not final").select("doc_id", "copy", "piece", "start", "length", "ids_crc32")
-        n = state.count()
+        n = 0 if parts == 1 else state.count()
         if not n:
             break
-        parts = max(1, min(parts // 2, -(-n // PARTITION)))
+        parts, turn = max(1, min(parts // 2, -(-n // PARTITION))), turn + 1
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
