@@ -41,6 +41,8 @@ SHINGLE, THRESHOLD, RECALL = 5, 0.8, 0.998
 TREES, DEEPEST = 12, 8
 #: Texts that are compared with one another in one task at once.
 BLOCK = 512
+#: Parts into which the texts of a node that several blocks share are dealt.
+SALTS = 16
 #: Bands of similarity in which pairs are counted.
 BANDS = 100
 
@@ -316,7 +318,10 @@ def _placed(member: DataFrame, steps: Steps) -> DataFrame:
     near = steps.table(near)
     held = steps.table(member.join(near, "rep").select("rep", "tree", "node", "block"))
     spread = held.groupBy("tree", "node").agg(F.collect_set("block").alias("others")).filter(F.size("others") > 1)
-    met = held.join(spread, ["tree", "node"]).select("rep", "block", F.explode("others").alias("other")).filter("block <> other").distinct()
+    # Salted: a node may hold a third of all texts.
+    spread = spread.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    met = held.withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int")).join(spread, ["tree", "node", "salt"]).groupBy("rep", "block").agg(F.array_distinct(F.flatten(F.collect_set("others"))).alias("others"))
+    met = met.select("rep", "block", F.explode(F.array_remove("others", F.col("block"))).alias("other"))
     both = near.withColumn("other", F.col("block")).unionByName(met)
     return steps.table(both.select("rep", "block", (F.least("block", "other").cast("long") * (1 << 31) + F.greatest("block", "other")).alias("pair")))
 
@@ -325,9 +330,6 @@ def linked_texts(trie: DataFrame, texts: DataFrame, rows: DataFrame, repeats: bo
     """_FOUND rows of the pairs of texts that share `depth` minima in some tree, and `done` in none; a table."""
     spark = steps.spark
     member = trie.filter(F.col("depth") >= depth).select("rep", "tree", F.get("nodes", F.lit(depth - least)).alias("node"))
-    if done is not None:  # a node whose texts all share the longer prefix has nothing new
-        fresh = trie.filter((F.col("up") >= depth) & (F.col("up") < done)).select("tree", F.get("nodes", F.lit(depth - least)).alias("node")).distinct()
-        member = steps.table(member.join(fresh, ["tree", "node"], "left_semi"))
     placed = _placed(member, steps)
     agreement = least_agreement(threshold, trees * deepest)
     screened = placed.join(texts.select("rep", "marks"), "rep").groupBy("pair").applyInArrow(_screen(trees, depth, done, agreement), "rep long, block int, pair long")
