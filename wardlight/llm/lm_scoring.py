@@ -28,9 +28,11 @@ from wardlight.llm.shards import Table, counts_column, write_shard
 from wardlight.llm.shared import chunks, materialize, n_buckets_bits, release_shuffles, shared_folder, text_or_empty
 
 #: Text that a map task combines before counts are sent.
-COMBINE = 16 << 20
+COMBINE = 8 << 20
 #: Bytes of training text for which there is a shard.
-SHARD_TEXT = 16 << 20
+SHARD_TEXT = 8 << 20
+#: Bytes of text that are scored at once: a token takes some 200 bytes of arrays.
+SCORED = 4 << 20
 #: Leading bits of the hash that stand for a word.
 WORD_BITS = 56
 END, START = U64(0xA24BAED4963EE407), U64(0x9FB21C651E98DF25)
@@ -276,7 +278,7 @@ def _scorer(model: Model):
         words, pairs, contexts_table, followed = (Table(model.folder, n, model.bits) for n in ("words", "pairs", "contexts", "followed"))
         # The base distribution of continuations gets what their discounts free.
         base = (model.f * model.followed).sum() / max(1, model.pairs) / (model.types + 1) if model.pairs else 1.0 / (model.types + 1)
-        for rows in chunks(batches):
+        for rows in chunks(batches, SCORED):
             contexts, tokens, first = _tokens([r[2] for r in rows])
             contexts, tokens = _clear(prefix, contexts), _clear(prefix, tokens)
             distinct, where = np.unique(np.concatenate((tokens, contexts)), return_inverse=True)
