@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from wardlight.llm import license_scan, substring_dedup, suffix_dedup
 from wardlight.llm.fingerprints import fingerprints
+from wardlight.llm.fingerprints import near_duplicates as band_join
 from wardlight.llm.license_scan import license_columns
 from wardlight.llm.line_dedup import EXACT_CHARS, dedup_digests
 from wardlight.llm.lm_scoring import train_and_score
@@ -66,7 +67,12 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.removal_digests(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_fingerprints, op3_lm_scoring, op4_line_dedup, op5_mixing, op6_license_scan, op7_suffix_dedup, op8_packing, op9_quality_rules, op10_substring_dedup)}
+def fingerprint_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents by classes of near copies: bands of the fingerprints' signatures joined, pairs verified."""
+    return band_join(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_fingerprints, op3_lm_scoring, op4_line_dedup, op5_mixing, op6_license_scan, op7_suffix_dedup, op8_packing, op9_quality_rules, op10_substring_dedup, fingerprint_classes)}
 ORACLE: dict[str, str] = {}
 
 _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
