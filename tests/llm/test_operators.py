@@ -166,6 +166,17 @@ def test_language_model_probabilities_add_up_and_base_matches(spark, docs):
         assert got[i].score == pytest.approx(expected(t), rel=1e-9)
 
 
+@pytest.mark.parametrize("share", [1, 40])
+def test_language_model_of_order_3(spark, docs, monkeypatch, share):
+    """Against the definition; with a share of 40 many contexts are spread over the buckets."""
+    monkeypatch.setattr(lm_scoring, "SHARE", share)
+    got = by_id(lm_scoring.train_and_score(docs, order=3))
+    held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i, *_ in ROWS}
+    expected = kneser_ney_3([t for i, t, *_ in ROWS if not held[i]])
+    for i, t, *_ in ROWS:
+        assert got[i].score == pytest.approx(expected(t), rel=1e-9)
+
+
 def discounts(counts):
     n = [sum(c == k for c in counts) for k in (1, 2, 3, 4)]
     if 0 in n:
@@ -175,6 +186,40 @@ def discounts(counts):
     return [x if 0 < x <= k + 1 else (0.5, 1.0, 1.5)[k] for k, x in enumerate(d)]
 
 
+def kneser_ney_3(texts):
+    """log10 probability of a text by an interpolated modified Kneser-Ney model of triples, from its definition."""
+    tokens = lambda t: [w for w in (t or "").encode().lower().split()] + ["</s>"]
+
+    def grams(t):
+        all_tokens = ["<s>", *tokens(t)]
+        return [tuple(all_tokens[max(0, i - 2) : i + 1]) for i in range(1, len(all_tokens))]
+
+    top = Counter(g for t in texts for g in grams(t))
+    pairs = Counter({g: c for g, c in top.items() if len(g) == 2}) + Counter(g[1:] for g in top if len(g) == 3)
+    before = Counter(w for _, w in pairs)
+    triples = {g: c for g, c in top.items() if len(g) == 3}
+    levels = [({g: c for g, c in pairs.items()}, discounts(pairs.values())), (triples, discounts(triples.values()))]
+    f = discounts(before.values())
+    less = lambda c, by: c - by[min(c, 3) - 1] if c else 0.0
+    left = sum(f[min(n, 3) - 1] for n in before.values()) / len(pairs)
+    types = len({w for _, w in pairs})
+    followers = {}
+    for counts, _ in levels:
+        for g, c in counts.items():
+            followers.setdefault(g[:-1], []).append(c)
+
+    def p(g):
+        if len(g) == 1:
+            return less(before[g[0]], f) / len(pairs) + left / (types + 1)
+        lower, n = p(g[1:]), followers.get(g[:-1])
+        if not n:
+            return lower
+        counts, d = levels[len(g) - 2]
+        return less(counts.get(g, 0), d) / sum(n) + sum(d[min(c, 3) - 1] for c in n) / sum(n) * lower
+
+    return lambda t: sum(np.log10(p(g)) for g in grams(t))
+
+
 def kneser_ney(texts):
     """log10 probability of a text by an interpolated modified Kneser-Ney bigram model, from its definition."""
     tokens = lambda t: [w for w in (t or "").encode().lower().split()] + ["</s>"]
@@ -622,6 +667,7 @@ def test_final_punctuation_before_long_line_ends(spark):
         fingerprints.fingerprints,
         fingerprints.near_duplicates,
         lm_scoring.train_and_score,
+        lambda d: lm_scoring.train_and_score(d, order=3),
         line_dedup.dedup_digests,
         line_dedup.dedup_lines,
         mixing.mix,
@@ -652,6 +698,7 @@ NAMES = ("kept", "n_words", "rest", "th", "kind", "size", "bucket", "times", "un
         fingerprints.fingerprints,
         fingerprints.near_duplicates,
         lm_scoring.train_and_score,
+        lambda d: lm_scoring.train_and_score(d, order=3),
         line_dedup.dedup_digests,
         line_dedup.dedup_lines,
         mixing.mix,

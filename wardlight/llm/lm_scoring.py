@@ -1,4 +1,4 @@
-"""Interpolated modified Kneser-Ney language model (order 2): counted in Spark, stored as sorted
+"""Interpolated modified Kneser-Ney language model of order 2 or 3: counted in Spark, stored as sorted
 hash arrays in the shared folder, memory-mapped by workers for scoring.
 
 Tokens are words, lower-cased in A-Z, and one end token for each text; the context of a text's
@@ -8,6 +8,12 @@ by the pair's hash, and their statistics added up afterwards); texts are scored.
 give the discounts. All counts cover all training texts; nothing is pruned. Every word whose count
 is 1 has one follower and one predecessor, so it needs no entry beyond its count.
 
+At order 3 triples of words take the place of pairs, dealt by the word in the middle, so that a bucket
+sees all predecessors of a pair and all followers of a context of two words. They are counted in
+passes over shares of the buckets, as the shuffle of one pass is gone before the next. A pair's count
+is then that of its different predecessors; pairs at a text's start have none and keep their own
+count, and a text's first token is judged by its pair alone.
+
 Null texts count as empty: the end token alone. A null doc_id hashes as empty text. Rows that
 repeat a doc_id are scored and counted one by one. With an empty training set every token is
 unknown and the model is uniform over one token. An empty table gives an empty result.
@@ -16,6 +22,7 @@ unknown and the model is uniform over one token. An empty table gives an empty r
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +43,11 @@ SCORED = 4 << 20
 #: Leading bits of the hash that stand for a word.
 WORD_BITS = 56
 END, START = U64(0xA24BAED4963EE407), U64(0x9FB21C651E98DF25)
-WORDS, STATS, HEAVY, FOLLOWED = 10, 11, 12, 13
+WORDS, STATS, HEAVY, FOLLOWED, WIDE = 10, 11, 12, 13, 14
+#: Passes in which the triples are counted.
+PASSES = 4
+#: At order 3 a context is spread over the buckets with one part in SHARE of a bucket's tokens.
+SHARE = 2
 
 
 def held_out(doc_id: Column, folds: int = 7, fold: int = 2) -> Column:
@@ -195,13 +206,178 @@ def _pair_shard(bits: int, folder: str, heavy: np.ndarray):
     return run
 
 
+def _joined(*blobs: bytes) -> bytes:
+    return b"".join(len(b).to_bytes(8, "little") + b for b in blobs)
+
+
+def _split(blob: bytes) -> list[bytes]:
+    out, at = [], 0
+    while at < len(blob):
+        n = int.from_bytes(blob[at : at + 8], "little")
+        out.append(blob[at + 8 : at + 8 + n])
+        at += 8 + n
+    return out
+
+
+def _before(contexts: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The word before each context; START where the context is a text's start."""
+    out = np.empty_like(contexts)
+    out[1:] = contexts[:-1]
+    out[first] = contexts[first]
+    return out
+
+
+def _changes(*columns: np.ndarray) -> np.ndarray:
+    """Where rows of sorted columns differ from the row before."""
+    new = np.zeros(len(columns[0]), bool)
+    new[:1] = True
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(new)
+
+
+def _triple_counts(bits: int, folder: str, heavy: np.ndarray, turn: int, turns: int):
+    prefix = Prefix(bits, WORD_BITS)
+
+    def run(batches):
+        table = Table(folder, "words", bits)
+        for rows in chunks(batches, COMBINE):
+            v, w, first = _tokens([r[0] for r in rows])
+            v, w = _clear(prefix, v), _clear(prefix, w)
+            u = _before(v, first)
+            spread = np.isin(v, heavy)
+            bucket = prefix.bucket(prefix.key(np.where(spread, _pair(v, w), v)))
+            own = np.flatnonzero(bucket % turns == turn)
+            own = own[np.lexsort((u[own], w[own], v[own]))]
+            u, v, w, bucket = u[own], v[own], w[own], bucket[own]
+            begin = _changes(v, w, u)
+            counts = np.diff(np.append(begin, len(v)))
+            u, v, w, bucket = u[begin], v[begin], w[begin], bucket[begin]
+            distinct, where = np.unique(w, return_inverse=True)
+            once = table.get(distinct, "count")[0][where] == 1  # such a token has one predecessor: no need to count it
+            out = []
+            for b, part in by_bucket(bucket):
+                pair = _changes(v[part], w[part])
+                context = _changes(v[part[pair]])
+                out.append(
+                    (
+                        b,
+                        0,
+                        0,
+                        _joined(prefix_bytes(v[part[pair[context]]], prefix), squeeze(np.diff(np.append(context, len(pair))))),
+                        _joined(prefix_bytes(w[part[pair]], prefix), squeeze(np.diff(np.append(pair, len(part)))), np.packbits(once[part[pair]]).tobytes()),
+                        prefix_bytes(u[part], prefix),
+                        squeeze(counts[part]),
+                    )
+                )
+            yield wire(out)
+
+    return run
+
+
+def _by_count(where: np.ndarray, counts: np.ndarray, n: int) -> list[np.ndarray]:
+    """Sum of counts, and how many are 1, 2, 3 and more, of each of n groups."""
+    total = np.zeros(n, np.int64)
+    np.add.at(total, where, counts)
+    return [total, *(np.bincount(where[x], minlength=n) for x in (counts == 1, counts == 2, counts >= 3))]
+
+
+def _contexts_columns(keys: np.ndarray, stats: list[np.ndarray]) -> dict[str, np.ndarray]:
+    """Statistics of contexts in order of their keys, but of those with one follower that counts 1."""
+    more = np.flatnonzero(stats[0] > 1)
+    more = more[np.argsort(keys[more], kind="stable")]
+    out = {"keys": keys[more]}
+    for name, x in zip(("total", "n1", "n2", "n3"), stats):
+        out |= counts_column(name, x[more])
+    return out
+
+
+def _triple_shard(bits: int, folder: str, heavy: np.ndarray):
+    prefix = Prefix(bits, WORD_BITS)
+    start = _clear(prefix, np.array([START]))[0]
+    wide = Prefix(bits)
+
+    def run(table: pa.Table) -> pa.Table:
+        bucket, parts = table["bucket"][0].as_py(), []
+        for r in table.to_pylist():
+            (v, pairs), (w, triples, once) = _split(r["a"]), _split(r["b"])
+            w, triples = from_prefix_bytes(w, prefix), unsqueeze(triples)
+            several = np.unpackbits(np.frombuffer(once, np.uint8), count=len(w)) == 0
+            v = np.repeat(from_prefix_bytes(v, prefix), unsqueeze(pairs))
+            parts.append((*(np.repeat(x, triples) for x in (v, w, several)), from_prefix_bytes(r["c"], prefix), unsqueeze(r["d"])))
+        v, w, several, u, counts = map(np.concatenate, zip(*parts))
+        del parts
+        order = np.lexsort((u, w, v))
+        v, w, u, several, counts = v[order], w[order], u[order], several[order], counts[order]
+        begin = _changes(v, w, u)
+        counts = np.add.reduceat(counts, begin)
+        v, w, u, several = v[begin], w[begin], u[begin], several[begin]
+        # Pairs count by their different predecessors, those at a start as they are.
+        pair = _changes(v, w)
+        adjusted = np.diff(np.append(pair, len(v)))
+        pv, pw, several = v[pair], w[pair], several[pair]
+        adjusted = np.where(pv == start, np.add.reduceat(counts, pair), adjusted)
+        keys = _pair(pv, pw)
+        order = np.argsort(keys, kind="stable")
+        write_shard(f"{folder}/pairs-{bucket}", {"keys": keys[order], **counts_column("count", adjusted[order])})
+        own, where = np.unique(pv, return_inverse=True)
+        n = _by_count(where, adjusted, len(own))
+        big = np.isin(own, heavy)
+        write_shard(f"{folder}/contexts-{bucket}", _contexts_columns(own[~big], [x[~big] for x in n]))
+        # Triples and their contexts; a text's first token has none.
+        inner = v != start
+        v, w, u, counts = v[inner], w[inner], u[inner], counts[inner]
+        two = _pair(u, v)
+        keys = _pair(two, w)
+        order = np.argsort(keys, kind="stable")
+        write_shard(f"{folder}/triples-{bucket}", {"keys": keys[order], **counts_column("count", counts[order])})
+        spread = np.isin(v, heavy)
+        for_all, where = np.unique(two[~spread], return_inverse=True)
+        write_shard(f"{folder}/before-{bucket}", _contexts_columns(for_all, _by_count(where, counts[~spread], len(for_all))))
+        out = _send_counts(prefix, FOLLOWED, *_counted(pw[several]))
+        shared, where = np.unique(two[spread], return_inverse=True)
+        of_shared = _by_count(where, counts[spread], len(shared))
+        for b, part in by_bucket(wide.bucket(wide.key(shared))):
+            out.append((b, WIDE, 0, shared[part].tobytes(), _joined(*(squeeze(x[part]) for x in of_shared))))
+        four = lambda c: np.bincount(np.minimum(c, 5), minlength=6)[1:5]
+        out.append((bucket, STATS, 0, np.concatenate((four(adjusted), four(counts))).astype("<i8").tobytes(), np.asarray([len(adjusted), np.count_nonzero(~several), adjusted.sum()], "<i8").tobytes()))
+        out.append((bucket, HEAVY, 0, own[big].tobytes(), np.stack([x[big] for x in n]).astype("<i8").tobytes()))
+        return pa.Table.from_batches([wire(out)])
+
+    return run
+
+
+def _wide_shard(bits: int, folder: str):
+    """The shard of words' predecessors, and that of contexts of two words whose second is spread over buckets."""
+    followed = _followed_shard(bits, folder)
+
+    def run(table: pa.Table) -> pa.Table:
+        is_wide = table["kind"].to_numpy() == WIDE
+        rows = table.filter(pa.array(is_wide)).to_pylist()
+        if rows:
+            # an empty row keeps the bucket's number where nothing else is left
+            nothing = wire([(table["bucket"][0].as_py(), FOLLOWED, 0, b"", squeeze(np.zeros(0, np.int64)))])
+            rest = pa.concat_tables([table.filter(pa.array(~is_wide)), pa.Table.from_batches([nothing]).cast(table.schema)])
+            keys = np.concatenate([np.frombuffer(r["a"], U64) for r in rows])
+            stats = [np.concatenate([unsqueeze(x) for x in column]) for column in zip(*(_split(r["b"]) for r in rows))]
+            own, where = np.unique(keys, return_inverse=True)
+            sums = [np.zeros(len(own), np.int64) for _ in stats]
+            for total, x in zip(sums, stats):
+                np.add.at(total, where, x)
+            write_shard(f"{folder}/wide-{table['bucket'][0].as_py()}", _contexts_columns(own, sums))
+        return followed(rest if rows else table)
+
+    return run
+
+
 def _followed_shard(bits: int, folder: str):
     prefix = Prefix(bits, WORD_BITS)
 
     def run(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
-        keys, counts = _received_counts(prefix, rows[0]["bucket"], [r for r in rows if r["kind"] == FOLLOWED])
-        write_shard(f"{folder}/followed-{rows[0]['bucket']}", {"keys": keys, **counts_column("count", counts)})
+        bucket = rows[0]["bucket"]
+        keys, counts = _received_counts(prefix, bucket, [r for r in rows if r["kind"] == FOLLOWED])
+        write_shard(f"{folder}/followed-{bucket}", {"keys": keys, **counts_column("count", counts)})
         of_counts = np.bincount(np.minimum(counts, 5), minlength=6)[1:5].astype("<i8")
         out = [(0, FOLLOWED, 0, of_counts.tobytes(), np.asarray([len(counts)], "<i8").tobytes())]
         out += [(0, r["kind"], 0, r["a"], r["b"]) for r in rows if r["kind"] != FOLLOWED]
@@ -237,10 +413,15 @@ class Model:
     f: np.ndarray
     heavy: np.ndarray
     heavy_counts: np.ndarray
+    order: int = 2
+    #: Discounts of triple counts.
+    t: np.ndarray | None = None
 
 
-def train(docs: DataFrame) -> Model:
-    """A model of all rows of docs (a column text)."""
+def train(docs: DataFrame, order: int = 2) -> Model:
+    """A model of all rows of docs (a column text), of order 2 or 3."""
+    if order not in (2, 3):
+        raise ValueError("the order is 2 or 3")
     spark = docs.sparkSession
     texts = docs.select(text_or_empty().alias("text"))
     bits, folder = n_buckets_bits(texts, SHARD_TEXT), shared_folder(spark)
@@ -249,17 +430,28 @@ def train(docs: DataFrame) -> Model:
     tokens, types = (sum(int(np.frombuffer(r["a"], "<i8")[i]) for r in rows) for i in (0, 1))
     keys = np.concatenate([np.frombuffer(r["b"], U64) for r in rows] or [np.zeros(0, U64)])
     counts = np.concatenate([np.frombuffer(r["c"], "<i8") for r in rows] or [np.zeros(0, np.int64)])
-    # At most 16 contexts for each bucket can have that share of all tokens.
-    heavy = np.sort(np.append(keys[counts > tokens / (16 << bits)], _clear(Prefix(bits, WORD_BITS), np.array([START]))))
+    # At most 16 (order 3: SHARE) contexts for each bucket can have that share of all tokens.
+    share = (16 if order == 2 else SHARE) << bits
+    heavy = np.sort(np.append(keys[counts > tokens / share], _clear(Prefix(bits, WORD_BITS), np.array([START]))))
     release_shuffles(spark)
-    paired = texts.mapInArrow(_pair_counts(bits, folder, heavy), WIRE).groupBy("bucket").applyInArrow(_pair_shard(bits, folder, heavy), WIRE)
-    rows = materialize(paired.groupBy("bucket").applyInArrow(_followed_shard(bits, folder), WIRE).select("kind", "a", "b"))
+    if order == 2:
+        paired = texts.mapInArrow(_pair_counts(bits, folder, heavy), WIRE).groupBy("bucket").applyInArrow(_pair_shard(bits, folder, heavy), WIRE)
+        rows = materialize(paired.groupBy("bucket").applyInArrow(_followed_shard(bits, folder), WIRE).select("kind", "a", "b"))
+    else:
+        parts = []
+        for turn in range(PASSES):
+            sent = texts.mapInArrow(_triple_counts(bits, folder, heavy, turn, PASSES), WIRE)
+            parts.append(materialize(sent.groupBy("bucket").applyInArrow(_triple_shard(bits, folder, heavy), WIRE)))
+            del sent
+            release_shuffles(spark)
+        rows = materialize(reduce(DataFrame.union, parts).groupBy("bucket").applyInArrow(_wide_shard(bits, folder), WIRE).select("kind", "a", "b"))
     stats = [(np.frombuffer(r["a"], "<i8"), np.frombuffer(r["b"], "<i8")) for r in rows.filter(F.col("kind") == STATS).collect()]
     followed = [(np.frombuffer(r["a"], "<i8"), np.frombuffer(r["b"], "<i8")) for r in rows.filter(F.col("kind") == FOLLOWED).collect()]
-    heavy_counts = np.zeros((3, len(heavy)), np.int64)
+    n_stats = 3 if order == 2 else 4
+    heavy_counts = np.zeros((n_stats, len(heavy)), np.int64)
     for r in rows.filter(F.col("kind") == HEAVY).toLocalIterator():
         own = np.frombuffer(r["a"], U64)
-        heavy_counts[:, np.searchsorted(heavy, own)] += np.frombuffer(r["b"], "<i8").reshape(3, -1)
+        heavy_counts[:, np.searchsorted(heavy, own)] += np.frombuffer(r["b"], "<i8").reshape(n_stats, -1)
     release_shuffles(spark)
     zero = np.zeros(4, np.int64)
     of_followed = sum((a for a, _ in followed), zero)
@@ -267,18 +459,43 @@ def train(docs: DataFrame) -> Model:
     of_followed = of_followed + np.array([once, 0, 0, 0])
     types_followed = sum(int(b[0]) for _, b in followed) + once
     by_predecessors = np.append(of_followed[:2], types_followed - of_followed[:2].sum())
-    of_pairs, pairs = sum((a for a, _ in stats), zero), sum(int(b[0]) for _, b in stats)
-    return Model(folder, bits, tokens, types, texts.count(), pairs, by_predecessors, discounts(of_pairs), discounts(of_followed), heavy, heavy_counts)
+    of_pairs, pairs = sum((a[:4] for a, _ in stats), zero), sum(int(b[0]) for _, b in stats)
+    of_triples = sum((a[4:] for a, _ in stats), zero) if order == 3 else zero
+    return Model(folder, bits, tokens, types, texts.count(), pairs, by_predecessors, discounts(of_pairs), discounts(of_followed), heavy, heavy_counts, order, discounts(of_triples))
+
+
+def _cut(counts: np.ndarray, d: np.ndarray) -> np.ndarray:
+    return np.maximum(counts - np.concatenate(([0.0], d))[np.minimum(counts, 3)], 0)
+
+
+def _found(table: Table, home: np.ndarray, keys: np.ndarray, *values: str) -> list[np.ndarray]:
+    """The named values of keys, each in the shard of its home; 0 where a key is missing."""
+    out = [np.zeros(len(keys), np.int64) for _ in values]
+    for b, part in by_bucket(home):
+        shard = table.shard(b)
+        if shard and len(shard["keys"]):
+            part = part[np.argsort(keys[part], kind="stable")]
+            at = np.minimum(np.searchsorted(shard["keys"], keys[part]), len(shard["keys"]) - 1)
+            hit = shard["keys"][at] == keys[part]
+            for o, v in zip(out, values):
+                c = np.where(hit, shard[v][at], 0).astype(np.int64)
+                full = c == 255
+                c[full] = shard[f"{v}+"][np.searchsorted(shard[f"{v}@"], at[full])]
+                o[part] = c
+    return out
 
 
 def _scorer(model: Model):
     prefix = Prefix(model.bits, WORD_BITS)
+    wide_prefix = Prefix(model.bits)
+    start_key = _clear(prefix, np.array([START]))[0]
 
     def run(batches):
         words, pairs, contexts_table, followed = (Table(model.folder, n, model.bits) for n in ("words", "pairs", "contexts", "followed"))
         # The base distribution of continuations gets what their discounts free.
         base = (model.f * model.followed).sum() / max(1, model.pairs) / (model.types + 1) if model.pairs else 1.0 / (model.types + 1)
-        for rows in chunks(batches, SCORED):
+        triples, narrow, wide = (Table(model.folder, n, model.bits) for n in ("triples", "before", "wide"))
+        for rows in chunks(batches, SCORED if model.order == 2 else SCORED // 2):
             contexts, tokens, first = _tokens([r[2] for r in rows])
             contexts, tokens = _clear(prefix, contexts), _clear(prefix, tokens)
             distinct, where = np.unique(np.concatenate((tokens, contexts)), return_inverse=True)
@@ -292,29 +509,34 @@ def _scorer(model: Model):
             n1[absent] = 1
             place = np.minimum(np.searchsorted(model.heavy, distinct), len(model.heavy) - 1)
             big = model.heavy[place] == distinct
-            n1[big], n2[big], n3[big] = model.heavy_counts[:, place[big]]
-            total = seen.copy()
-            start = distinct == _clear(prefix, np.array([START]))[0]
-            total[start] = model.starts
+            n1[big], n2[big], n3[big] = model.heavy_counts[-3:, place[big]]
+            if model.order == 2:
+                total = seen.copy()
+            else:
+                total = contexts_table.get(distinct, "total")[0]
+                total[(n1 + n2 + n3 == 1) & (n1 == 1) & ~big] = 1
+                total[big] = model.heavy_counts[0, place[big]]
+            total[distinct == start_key] = model.starts
             w, u = where[: len(tokens)], where[len(tokens) :]
             keys = _pair(contexts, tokens)
             spread = np.isin(contexts, model.heavy)
-            count = np.zeros(len(keys), np.int64)
             home = prefix.bucket(prefix.key(np.where(spread, keys, contexts)))
-            for b, part in by_bucket(home):
-                shard = pairs.shard(b)
-                if shard and len(shard["keys"]):
-                    part = part[np.argsort(keys[part], kind="stable")]
-                    at = np.minimum(np.searchsorted(shard["keys"], keys[part]), len(shard["keys"]) - 1)
-                    hit = shard["keys"][at] == keys[part]
-                    c = np.where(hit, shard["count"][at], 0).astype(np.int64)
-                    full = c == 255
-                    c[full] = shard["count+"][np.searchsorted(shard["count@"], at[full])]
-                    count[part] = c
-            cut = lambda c, d: np.maximum(c - np.concatenate(([0.0], d))[np.minimum(c, 3)], 0)
-            lower = cut(after, model.f) / max(1, model.pairs) + base
+            count = _found(pairs, home, keys, "count")[0]
+            lower = _cut(after, model.f) / max(1, model.pairs) + base
             free = np.divide(model.d[0] * n1 + model.d[1] * n2 + model.d[2] * n3, total, out=np.ones(len(total)), where=total > 0)
-            p = np.divide(cut(count, model.d), total[u], out=np.zeros(len(count)), where=total[u] > 0) + free[u] * lower[w]
+            p = np.divide(_cut(count, model.d), total[u], out=np.zeros(len(count)), where=total[u] > 0) + free[u] * lower[w]
+            if model.order == 3:
+                two = _pair(_before(contexts, first), contexts)
+                t = _found(triples, home, _pair(two, tokens), "count")[0]
+                at_home = prefix.bucket(prefix.key(contexts))
+                stats = [np.where(spread, a, b) for a, b in zip(*(_found(x, h, two, "total", "n1", "n2", "n3") for x, h in ((wide, wide_prefix.bucket(wide_prefix.key(two))), (narrow, at_home))))]
+                known = np.append(0, count[:-1]) > 0  # the context of two words was the pair before
+                once = known & (stats[0] == 0)  # without an entry: met once
+                total, n1, n2, n3 = stats
+                total[once], n1[once] = 1, 1
+                total[first] = 0  # a text's first token has no context of two words
+                upper = np.divide(_cut(t, model.t), total, out=np.zeros(len(t)), where=total > 0)
+                p = upper + p * np.divide(model.t[0] * n1 + model.t[1] * n2 + model.t[2] * n3, total, out=np.ones(len(t)), where=total > 0)
             c = seen[w]
             plain = np.log10((c + 1) / (model.tokens + 1 * (model.types + 1)))
             add = lambda x: np.add.reduceat(x, first)
@@ -341,7 +563,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return scored.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
 
 
-def train_and_score(docs: DataFrame) -> DataFrame:
+def train_and_score(docs: DataFrame, order: int = 2) -> DataFrame:
     training = docs.filter(~held_out(F.col("doc_id")))
-    model = train(training)
+    model = train(training, order)
     return score(docs, model)

@@ -33,7 +33,7 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return train_and_score(documents(spark, sf_dir))
+    return train_and_score(documents(spark, sf_dir), order=3)
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
