@@ -45,7 +45,7 @@ WORD_BITS = 56
 END, START = U64(0xA24BAED4963EE407), U64(0x9FB21C651E98DF25)
 WORDS, STATS, HEAVY, FOLLOWED, WIDE = 10, 11, 12, 13, 14
 #: Passes in which the triples are counted.
-PASSES = 4
+PASSES = 8
 #: At order 3 a context is spread over the buckets with one part in SHARE of a bucket's tokens.
 SHARE = 2
 
