@@ -262,14 +262,7 @@ def hash_chain(spark, d):
     return stored(audit.chained(_logged(spark, d)), "audit")
 
 
-@query("H2", "SELECT count(*) < 151 AS valid, CAST(CASE WHEN count(*) >= 151 THEN 151 END AS BIGINT) AS tampered_at, count(*) AS total_entries FROM (SELECT event_id FROM events ORDER BY event_id LIMIT 200)")
-def chain_verdict(spark, d):
-    """The small case, of the first 200 events; H2_all verifies the whole log."""
-    log = audit.chained(_logged(spark, d).orderBy("id").limit(200))
-    return audit.verify(log.withColumn("line", F.when(F.col("pos") == 150, F.replace("line", F.lit('"id":150'), F.lit('"id":999'))).otherwise(F.col("line"))), segment=64)
-
-
-@query("H2_all", "SELECT false AS valid, count(*) - count(*) // 10 AS tampered_at, count(*) AS total_entries FROM events")
+@query("H2", "SELECT false AS valid, count(*) - count(*) // 10 AS tampered_at, count(*) AS total_entries FROM events")
 def whole_chain_verdict(spark, d):
     """The whole log, with a changed line after nine tenths of it."""
     log, n = hash_chain(spark, d), c.table(spark, d, "events").count()
