@@ -130,6 +130,25 @@ def test_failed_logins_count_any_user(spark):
     assert got[6] == ["FAILED_AUTH_SPIKE"] and got[7] == [] and got[5] == []
 
 
+def test_window_queries_count_events_of_the_same_instant_as_their_sql(spark, tmp_path):
+    import duckdb
+
+    from wardlight.engine.catalog import ACTIONS
+    from wardlight.plans.catalog import ORACLE, QUERIES
+
+    kinds = list(ACTIONS)
+    hours = (0.0, 0.0, 0.5, 1.0, 1.0, 1.5, 2.0, 2.0, 3.0001, 3.0001, 30.0)
+    rows = [(i, i % 2, 3600 * hours[i // 6], kinds[i % len(kinds)], 7.5) for i in range(6 * len(hours))] + [(900, 1, None, k, None) for k in kinds] + [(None, None, 0.0, k, 1.0) for k in kinds]
+    events = spark.createDataFrame(rows, "event_id long, user_id long, t double, event_type string, value double")
+    events = events.selectExpr("event_id", "cast(timestamp_micros(cast(t * 1000000 as bigint)) as timestamp_ntz) as ts", "user_id", "event_type", "value", "cast(null as string) as props")
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    sql = duckdb.connect()
+    sql.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    for name in ("W2", "W3", "W4", "W7"):
+        key = lambda r: tuple((x is None, x) for x in r)
+        assert sorted(map(tuple, QUERIES[name](spark, str(tmp_path)).collect()), key=key) == sorted(sql.execute(ORACLE[name]).fetchall(), key=key), name
+
+
 @pytest.mark.parametrize("bad", [0, 7, 19])
 def test_chain_finds_the_first_bad_line(spark, bad):
     lines = audit.chain([{"id": i, "action": "LOGIN", "detail": None if i % 2 else 'a "b" é'} for i in range(20)])

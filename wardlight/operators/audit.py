@@ -130,38 +130,43 @@ def off_hours(ts: Column) -> Column:
     return (h < FIRST_HOUR) | (h > LAST_HOUR)
 
 
-def prior_by_user(log: DataFrame, actions: list[str], seconds: float, name: str) -> DataFrame:
-    """log with the number of earlier events of the same user with those actions in the trailing window, both ends included."""
+def prior_by_user(log: DataFrame, actions: list[str], seconds: float, name: str, peers: bool = False) -> DataFrame:
+    """log with the number of earlier events of the same user with those actions in the trailing window, both ends included.
+
+    Events of the same instant count by sequence, or, with `peers`, all of them but the event itself.
+    """
     w = Window.partitionBy("user_id").orderBy(micros(F.col("ts"))).rangeBetween(-int(seconds * 1e6), Window.currentRow)
     hit = F.col("action").isin(*actions)
-    # Events of the same instant count by sequence; the log is ordered by both.
     later = Window.partitionBy("user_id", "ts").orderBy("seq").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    return log.withColumn(name, F.count_if(hit).over(w) - F.count_if(hit).over(later))
+    return log.withColumn(name, F.count_if(hit).over(w) - (F.coalesce(hit, F.lit(False)).cast("long") if peers else F.count_if(hit).over(later)))
 
 
-def prior_anywhere(log: DataFrame, action: str, seconds: float, name: str) -> DataFrame:
-    """log with the number of earlier events of that action by anyone in the trailing window.
+def prior_anywhere(log: DataFrame, action: str, seconds: float, name: str, peers: bool = False) -> DataFrame:
+    """log with the number of earlier events of that action by anyone in the trailing window, both ends included.
 
+    Events of the same instant count by sequence, or, with `peers`, all of them but the event itself.
     A global window would put the log in one task: events are cut into buckets of the window's
-    length; each looks at its own bucket and the one before.
+    length. What the bucket before leaves counts from the start of a bucket until it is too old.
     """
     width = int(seconds * 1e6)
-    t = micros(F.col("ts"))
-    hits = log.filter(F.col("action") == action).select(t.alias("at"), F.col("seq").alias("hit"))
-    hits = hits.withColumn("bucket", F.explode(F.array(F.floor(F.col("at") / width), F.floor(F.col("at") / width) + 1)))
-    events = log.withColumns({"__at": t, "bucket": F.floor(t / width)})
-    both = events.select("bucket", F.col("__at").alias("at"), "seq", F.lit(0).alias("is_hit")).unionByName(hits.select("bucket", "at", F.col("hit").alias("seq"), F.lit(1).alias("is_hit")))
-    w = Window.partitionBy("bucket").orderBy("at").rangeBetween(-width, Window.currentRow)
-    later = Window.partitionBy("bucket", "at").orderBy("seq", "is_hit").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    counted = both.withColumn(name, F.sum("is_hit").over(w) - F.sum("is_hit").over(later)).filter("is_hit = 0").select("seq", name)
-    return log.join(counted, "seq")
-
-
-def anomalies(log: DataFrame, rapid: tuple = (60, 10), failed: tuple = (600, 5), exports: tuple = (3600, 3)) -> DataFrame:
+    own = F.coalesce(F.col("action") == action, F.lit(False)).cast("long")
+    events = log.withColumns({"__at": micros(F.col("ts")), "__hit": own, "__step": own, "__event": F.lit(True)}).withColumn("__bucket", F.floor(F.col("__at") / width))
+    after = F.col("__bucket") + 1
+    steps = F.array(F.struct((after * width).alias("at"), F.lit(1).cast("long").alias("step")), F.struct((F.col("__at") + width + 1).alias("at"), F.lit(-1).cast("long").alias("step")))
+    left = events.filter((F.col("__hit") == 1) & F.col("__at").isNotNull()).select(after.alias("__bucket"), F.inline(steps).alias("__at", "__step"))
+    left = left.withColumns({"__hit": F.lit(0).cast("long"), "__event": F.lit(False)})
+    both = events.unionByName(left, allowMissingColumns=True)
+    w = Window.partitionBy("__bucket").orderBy("__at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    later = Window.partitionBy("__bucket", "__at").orderBy("seq").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    counted = both.withColumn(name, F.sum("__step").over(w) - (F.col("__hit") if peers else F.sum("__hit").over(later)))
+    return counted.filter("__event").drop("__at", "__hit", "__step", "__event", "__bucket")
+
+
+def anomalies(log: DataFrame, rapid: tuple = (60, 10), failed: tuple = (600, 5), exports: tuple = (3600, 3), peers: bool = False) -> DataFrame:
     """log with the array `flags`, in the order bulk export, off hours, rapid queries, failed logins, excessive exports."""
-    out = prior_by_user(log, ["QUERY_RUN"], rapid[0], "__rapid")
-    out = prior_by_user(out, ["DATA_EXPORT_CSV", "DATA_EXPORT_EXCEL"], exports[0], "__exports")
-    out = prior_anywhere(out, "LOGIN_FAILED", failed[0], "__failed")
+    out = prior_by_user(log, ["QUERY_RUN"], rapid[0], "__rapid", peers)
+    out = prior_by_user(out, ["DATA_EXPORT_CSV", "DATA_EXPORT_EXCEL"], exports[0], "__exports", peers)
+    out = prior_anywhere(out, "LOGIN_FAILED", failed[0], "__failed", peers)
     flags = F.array(
         F.when(bulk_export(F.col("rows_affected")), "BULK_EXPORT"),
         F.when(off_hours(F.col("ts")), "OFF_HOURS"),
