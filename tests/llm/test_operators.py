@@ -731,3 +731,26 @@ def test_one_row_of_repeated_documents_stays(spark):
     out = ngram_join.one_of_each(spark.createDataFrame(ODD, "doc_id long, text string"))
     got = sorted((r.doc_id or -1, (r.text or "")[:20]) for r in out.collect())
     assert got == [(-1, ""), (-1, "a b c d e f"), (1, "other words for the "), (1, "same words here agai"), (2, ""), (3, "y" * 20), (4, "long text long text "), (5, "One line\nOne line\nA ")]
+
+
+def test_training_reads_the_texts_a_few_times(spark):
+    """Once each for size, words, triples and number, whatever the number of turns."""
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    docs = spark.createDataFrame(ROWS, SCHEMA).select("text").mapInArrow(counted, "text string")
+    lm_scoring.train(docs, 3)
+    assert 2 * len(ROWS) <= read.value <= 4 * len(ROWS)
+
+
+@pytest.mark.parametrize("n", [5, 1 << 22])
+def test_triples_are_counted_whatever_the_number_of_words(n):
+    draw = np.random.default_rng(2)
+    u, v, w = (draw.choice([0, 1, n - 1], 200) for _ in range(3))
+    want = Counter(zip(v.tolist(), w.tolist(), u.tolist()))
+    got = lm_scoring._sorted_triples(u, v, w, n)
+    assert list(zip(*(x.tolist() for x in (got[1], got[2], got[0], got[3])))) == [(*k, c) for k, c in sorted(want.items())]

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from wardlight.llm.exchange import WIRE, Prefix, by_bucket, squeeze, unsqueeze, wire
 from wardlight.llm.kernels import U64, Words, mix
 from wardlight.llm.shards import Table, counts_column, write_shard
-from wardlight.llm.shared import chunks, materialize, n_buckets_bits, release_shuffles, shared_folder, text_or_empty
+from wardlight.llm.shared import chunks, delete_table, materialize, n_buckets_bits, release_shuffles, shared_folder, text_or_empty, write_table
 
 #: Text that a map task combines before counts are sent.
 COMBINE = 8 << 20
@@ -236,41 +236,61 @@ def _changes(*columns: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def _triple_counts(bits: int, folder: str, heavy: np.ndarray, turn: int, turns: int):
+def _sorted_triples(u: np.ndarray, v: np.ndarray, w: np.ndarray, n: int) -> tuple[np.ndarray, ...]:
+    """(u, v, w, count) of the distinct triples of numbers below n, by v, w and u."""
+    size = n.bit_length()
+    if 3 * size <= 64:
+        key = np.sort((v.astype(U64) << U64(2 * size)) | (w.astype(U64) << U64(size)) | u.astype(U64))
+        begin = _changes(key)
+        rest, mask = key[begin], U64((1 << size) - 1)
+        u, v, w = rest & mask, rest >> U64(2 * size), (rest >> U64(size)) & mask
+        u, v, w = (x.astype(np.int64) for x in (u, v, w))
+    else:
+        order = np.lexsort((u, w, v))
+        u, v, w = u[order], v[order], w[order]
+        begin = _changes(v, w, u)
+        u, v, w = u[begin], v[begin], w[begin]
+    return u, v, w, np.diff(np.append(begin, len(order if 3 * size > 64 else key)))
+
+
+def _triple_counts(bits: int, folder: str, heavy: np.ndarray, turns: int):
+    """Combined triples; a row's kind is the turn in which its bucket is counted."""
     prefix = Prefix(bits, WORD_BITS)
+    start = _clear(prefix, np.array([START]))
 
     def run(batches):
         table = Table(folder, "words", bits)
         for rows in chunks(batches, COMBINE):
-            v, w, first = _tokens([r[0] for r in rows])
-            v, w = _clear(prefix, v), _clear(prefix, w)
-            u = _before(v, first)
-            spread = np.isin(v, heavy)
-            bucket = prefix.bucket(prefix.key(np.where(spread, _pair(v, w), v)))
-            own = np.flatnonzero(bucket % turns == turn)
-            own = own[np.lexsort((u[own], w[own], v[own]))]
-            u, v, w, bucket = u[own], v[own], w[own], bucket[own]
-            begin = _changes(v, w, u)
-            counts = np.diff(np.append(begin, len(v)))
-            u, v, w, bucket = u[begin], v[begin], w[begin], bucket[begin]
-            distinct, where = np.unique(w, return_inverse=True)
-            once = table.get(distinct, "count")[0][where] == 1  # such a token has one predecessor: no need to count it
-            out = []
-            for b, part in by_bucket(bucket):
-                pair = _changes(v[part], w[part])
-                context = _changes(v[part[pair]])
-                out.append(
-                    (
-                        b,
-                        0,
-                        0,
-                        _joined(prefix_bytes(v[part[pair[context]]], prefix), squeeze(np.diff(np.append(context, len(pair))))),
-                        _joined(prefix_bytes(w[part[pair]], prefix), squeeze(np.diff(np.append(pair, len(part)))), np.packbits(once[part[pair]]).tobytes()),
-                        prefix_bytes(u[part], prefix),
-                        squeeze(counts[part]),
+            _, w, first = _tokens([r[0] for r in rows])
+            distinct, w = np.unique(np.concatenate((start, _clear(prefix, w))), return_inverse=True)
+            at_start, w = w[0], w[1:]
+            v = np.append(at_start, w[:-1])
+            v[first] = at_start
+            u, v, w, counts = _sorted_triples(_before(v, first), v, w, len(distinct))
+            once = table.get(distinct, "count")[0] == 1  # such a token has one predecessor: no need to count it
+            pair = _changes(v, w)
+            of_pair = distinct[v[pair]]
+            bucket = prefix.bucket(prefix.key(np.where(np.isin(distinct, heavy)[v[pair]], _pair(of_pair, distinct[w[pair]]), of_pair)))
+            bucket = np.repeat(bucket, np.diff(np.append(pair, len(v))))
+            for turn in range(turns):
+                own, out = np.flatnonzero(bucket % turns == turn), []
+                for b, part in by_bucket(bucket[own]):
+                    part = own[part]
+                    pv, pw = v[part], w[part]
+                    pair = _changes(pv, pw)
+                    context = _changes(pv[pair])
+                    out.append(
+                        (
+                            b,
+                            turn,
+                            0,
+                            _joined(prefix_bytes(distinct[pv[pair[context]]], prefix), squeeze(np.diff(np.append(context, len(pair))))),
+                            _joined(prefix_bytes(distinct[pw[pair]], prefix), squeeze(np.diff(np.append(pair, len(part)))), np.packbits(once[pw[pair]]).tobytes()),
+                            prefix_bytes(distinct[u[part]], prefix),
+                            squeeze(counts[part]),
+                        )
                     )
-                )
-            yield wire(out)
+                yield wire(out)
 
     return run
 
@@ -318,7 +338,7 @@ def _triple_shard(bits: int, folder: str, heavy: np.ndarray):
         pv, pw, several = v[pair], w[pair], several[pair]
         adjusted = np.where(pv == start, np.add.reduceat(counts, pair), adjusted)
         keys = _pair(pv, pw)
-        order = np.argsort(keys, kind="stable")
+        order = np.argsort(keys)
         write_shard(f"{folder}/pairs-{bucket}", {"keys": keys[order], **counts_column("count", adjusted[order])})
         own, where = np.unique(pv, return_inverse=True)
         n = _by_count(where, adjusted, len(own))
@@ -329,7 +349,7 @@ def _triple_shard(bits: int, folder: str, heavy: np.ndarray):
         v, w, u, counts = v[inner], w[inner], u[inner], counts[inner]
         two = _pair(u, v)
         keys = _pair(two, w)
-        order = np.argsort(keys, kind="stable")
+        order = np.argsort(keys)
         write_shard(f"{folder}/triples-{bucket}", {"keys": keys[order], **counts_column("count", counts[order])})
         spread = np.isin(v, heavy)
         for_all, where = np.unique(two[~spread], return_inverse=True)
@@ -438,12 +458,13 @@ def train(docs: DataFrame, order: int = 2) -> Model:
         paired = texts.mapInArrow(_pair_counts(bits, folder, heavy), WIRE).groupBy("bucket").applyInArrow(_pair_shard(bits, folder, heavy), WIRE)
         rows = materialize(paired.groupBy("bucket").applyInArrow(_followed_shard(bits, folder), WIRE).select("kind", "a", "b"))
     else:
-        parts = []
+        parts, sent = [], shared_folder(spark)
+        write_table(texts.mapInArrow(_triple_counts(bits, folder, heavy, PASSES), WIRE), sent, "kind")
         for turn in range(PASSES):
-            sent = texts.mapInArrow(_triple_counts(bits, folder, heavy, turn, PASSES), WIRE)
-            parts.append(materialize(sent.groupBy("bucket").applyInArrow(_triple_shard(bits, folder, heavy), WIRE)))
-            del sent
-            release_shuffles(spark)
+            own = spark.read.schema(WIRE).parquet(sent).filter(F.col("kind") == turn)
+            parts.append(materialize(own.groupBy("bucket").applyInArrow(_triple_shard(bits, folder, heavy), WIRE)))
+            delete_table(spark, f"{sent}/kind={turn}")
+        delete_table(spark, sent)
         rows = materialize(reduce(DataFrame.union, parts).groupBy("bucket").applyInArrow(_wide_shard(bits, folder), WIRE).select("kind", "a", "b"))
     stats = [(np.frombuffer(r["a"], "<i8"), np.frombuffer(r["b"], "<i8")) for r in rows.filter(F.col("kind") == STATS).collect()]
     followed = [(np.frombuffer(r["a"], "<i8"), np.frombuffer(r["b"], "<i8")) for r in rows.filter(F.col("kind") == FOLLOWED).collect()]
@@ -474,9 +495,10 @@ def _found(table: Table, home: np.ndarray, keys: np.ndarray, *values: str) -> li
     for b, part in by_bucket(home):
         shard = table.shard(b)
         if shard and len(shard["keys"]):
-            part = part[np.argsort(keys[part], kind="stable")]
-            at = np.minimum(np.searchsorted(shard["keys"], keys[part]), len(shard["keys"]) - 1)
-            hit = shard["keys"][at] == keys[part]
+            part = part[np.argsort(keys[part])]
+            own = keys[part]
+            at = np.minimum(np.searchsorted(shard["keys"], own), len(shard["keys"]) - 1)
+            hit = shard["keys"][at] == own
             for o, v in zip(out, values):
                 c = np.where(hit, shard[v][at], 0).astype(np.int64)
                 full = c == 255
@@ -498,7 +520,10 @@ def _scorer(model: Model):
         for rows in chunks(batches, SCORED if model.order == 2 else SCORED // 2):
             contexts, tokens, first = _tokens([r[2] for r in rows])
             contexts, tokens = _clear(prefix, contexts), _clear(prefix, tokens)
-            distinct, where = np.unique(np.concatenate((tokens, contexts)), return_inverse=True)
+            distinct, where = np.unique(np.concatenate(([start_key], tokens)), return_inverse=True)
+            at_start, w = where[0], where[1:]
+            u = np.append(at_start, w[:-1])
+            u[first] = at_start
             seen = words.get(distinct, "count")[0]
             n1, n2, n3 = contexts_table.get(distinct, "n1", "n2", "n3")
             after = followed.get(distinct, "count")[0]
@@ -517,9 +542,8 @@ def _scorer(model: Model):
                 total[(n1 + n2 + n3 == 1) & (n1 == 1) & ~big] = 1
                 total[big] = model.heavy_counts[0, place[big]]
             total[distinct == start_key] = model.starts
-            w, u = where[: len(tokens)], where[len(tokens) :]
             keys = _pair(contexts, tokens)
-            spread = np.isin(contexts, model.heavy)
+            spread = big[u]
             home = prefix.bucket(prefix.key(np.where(spread, keys, contexts)))
             count = _found(pairs, home, keys, "count")[0]
             lower = _cut(after, model.f) / max(1, model.pairs) + base
