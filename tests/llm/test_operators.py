@@ -754,3 +754,30 @@ def test_triples_are_counted_whatever_the_number_of_words(n):
     want = Counter(zip(v.tolist(), w.tolist(), u.tolist()))
     got = lm_scoring._sorted_triples(u, v, w, n)
     assert list(zip(*(x.tolist() for x in (got[1], got[2], got[0], got[3])))) == [(*k, c) for k, c in sorted(want.items())]
+
+
+def test_a_table_keeps_its_first_shards_mapped(tmp_path, monkeypatch):
+    from wardlight.llm import shards
+
+    monkeypatch.setattr(shards, "OPEN_SHARDS", 3)
+    opened = []
+    monkeypatch.setattr(shards, "map_shard", lambda uri, f=shards.map_shard: opened.append(uri) or f(uri))
+    keys = np.arange(8, dtype=np.uint64) << np.uint64(61)
+    for b in range(8):
+        shards.write_shard(f"{tmp_path}/t-{b}", {"keys": keys[b : b + 1], **shards.counts_column("count", np.array([b + 250]))})
+    table = shards.Table(str(tmp_path), "t", 3)
+    for _ in range(3):
+        assert table.get(keys, "count")[0].tolist() == list(range(250, 258))
+    assert len(opened) == 8 + 5 + 5
+
+
+def test_shuffle_files_go_when_a_table_is_written(spark):
+    from wardlight.llm.shared import materialize
+
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffles = lambda: {f for f in (str(blocks.getAllFiles().apply(i)) for i in range(blocks.getAllFiles().size())) if "shuffle_" in f}
+    before, setting = shuffles(), spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    table = materialize(spark.range(1000).repartition(4, "id"))
+    assert not shuffles() - before
+    assert table.count() == 1000
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == setting

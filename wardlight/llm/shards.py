@@ -11,13 +11,15 @@ import json
 import mmap
 import os
 import tempfile
-from collections import OrderedDict
 from urllib.parse import urlsplit
 
 import numpy as np
 from pyspark import TaskContext
 
-OPEN_SHARDS = 512
+#: Shards of a table that a worker keeps mapped. Each is a mapping of its own; a process may have some 65,000 of them.
+OPEN_SHARDS = 4096
+#: The same where a mapping takes a local copy.
+COPIED_SHARDS = 512
 
 
 def local_path(uri: str) -> str | None:
@@ -81,15 +83,17 @@ class Table:
     """A table of sorted keys in shards by the top bits of the key."""
 
     def __init__(self, folder: str, name: str, bits: int):
-        self.folder, self.name, self.bits, self.open = folder, name, bits, OrderedDict()
+        self.folder, self.name, self.bits, self.open = folder, name, bits, {}
+        self.most = OPEN_SHARDS if local_path(folder) else COPIED_SHARDS
 
     def shard(self, bucket: int) -> dict[str, np.ndarray]:
-        if bucket not in self.open:
-            if len(self.open) >= OPEN_SHARDS:
-                self.open.popitem(last=False)
-            self.open[bucket] = map_shard(f"{self.folder}/{self.name}-{bucket}")
-        self.open.move_to_end(bucket)
-        return self.open[bucket]
+        """Shards are asked for in order, again and again: the first ones stay, as the latest ones would all be gone by their next turn."""
+        shard = self.open.get(bucket)
+        if shard is None:
+            shard = map_shard(f"{self.folder}/{self.name}-{bucket}")
+            if len(self.open) < self.most:
+                self.open[bucket] = shard
+        return shard
 
     def get(self, keys: np.ndarray, *values: str) -> list[np.ndarray]:
         """For sorted distinct keys: the named values, 0 where a key is missing. Counts over 254 stand in a list of their own."""
